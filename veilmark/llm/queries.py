@@ -19,6 +19,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op2_language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op6_secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op7_quality import quality_rules
 
@@ -26,7 +38,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_language, op6_secrets, op7_quality_rules, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
