@@ -11,6 +11,12 @@ from .common import table
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
+def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op9_resampling import importance
+
+    return importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +31,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op5_toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op6_secrets import find_secrets
 
@@ -38,7 +50,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op6_secrets, op7_quality_rules, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_language, op5_toxicity, op6_secrets, op7_quality_rules, op9_importance, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
