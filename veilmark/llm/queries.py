@@ -25,6 +25,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op1_pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op2_language import identify
 
@@ -50,7 +56,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op5_toxicity, op6_secrets, op7_quality_rules, op9_importance, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_language, op5_toxicity, op6_secrets, op7_quality_rules, op9_importance, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
