@@ -37,6 +37,18 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_decontamination import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op4_jaccard import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op5_toxicity import score_documents
 
@@ -56,7 +68,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_language, op5_toxicity, op6_secrets, op7_quality_rules, op9_importance, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_language, op3_leaks, op4_jaccard, op5_toxicity, op6_secrets, op7_quality_rules, op9_importance, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
