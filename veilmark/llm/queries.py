@@ -11,6 +11,12 @@ from .common import table
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op8_substrings import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op9_resampling import importance
 
@@ -68,10 +74,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_language, op3_leaks, op4_jaccard, op5_toxicity, op6_secrets, op7_quality_rules, op9_importance, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_language, op3_leaks, op4_jaccard, op5_toxicity, op6_secrets, op7_quality_rules, op8_substrings, op9_importance, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import op7_quality
+    from . import op7_quality, op8_substrings
 
-    return {"op7_quality_rules": op7_quality.oracle()}
+    return {"op7_quality_rules": op7_quality.oracle(), "op8_substrings": op8_substrings.oracle()}
