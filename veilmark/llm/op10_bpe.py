@@ -36,7 +36,7 @@ _PLAIN = re.compile(rf"[\t\n\r -~{_L}\u00a1-\u00a9\u00ab-\u00ac\u00ae-\u00b1\u00
 _CLASSES = {r"\p{L}": _L, r"\p{N}": "0-9"}
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-FULL = SCHEMA + ", ids array<int>, decoded string"
+FULL = SCHEMA + ", ids array<int>"
 
 
 def byte_chars() -> list[str]:
@@ -176,7 +176,7 @@ def load(path: str, pattern: str) -> Bpe:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, full: bool = False) -> DataFrame:
-    """A row for each document; full adds the ids and the decoded text. path: a rank file that every executor has."""
+    """A row for each document; full adds the ids. path: a rank file that every executor has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
@@ -189,7 +189,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, full: bool = Fals
                 out["decoded_sha256"] = pa.array([hashlib.sha256(back).hexdigest() for _, _, back in rows], pa.string())
                 if full:
                     out["ids"] = pa.array([[int(i) for i in ids.split(",")] if ids else [] for _, ids, _ in rows], pa.list_(pa.int32()))
-                    out["decoded"] = pa.array([back.decode() for _, _, back in rows], pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 
     return only(docs, "doc_id", "text").mapInArrow(run, FULL if full else SCHEMA)

@@ -88,7 +88,8 @@ def links(n: int, m: int, common: int) -> bool:
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, n, sig, bitmap) for each document, the bitmap once for each class and task; and rows of counts (cell as doc_id, n; sig null)."""
+    """A row (doc_id, row, n, sig, bitmap) for each document, the bitmap once for each class and task; and rows of counts (cell as doc_id, n; sig null)."""
+    names = ["doc_id", "row", "n", "sig", "bitmap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, total, seen = np.zeros(TABLE, np.int32), 0, set()
@@ -105,11 +106,12 @@ def _describe(docs: DataFrame) -> DataFrame:
                         bits[i] = bitmap(s)
                         if len(seen) > 200_000:
                             seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sig), pa.array(bits, pa.binary())], names=["doc_id", "n", "sig", "bitmap"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n), pa.array(sig), pa.array(bits, pa.binary())], names=names)
         at = np.flatnonzero(cells >= max(8, 4 * total / TABLE + 4))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())], names=["doc_id", "n", "sig", "bitmap"])
+        nulls = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(at), nulls, pa.array(cells[at]), nulls, pa.nulls(len(at), pa.binary())], names=names)
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n int, sig bigint, bitmap binary")
+    return only(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id bigint, row bigint, n int, sig bigint, bitmap binary")
 
 
 def _frequent(described: DataFrame) -> dict[int, int]:
@@ -302,11 +304,11 @@ def slots(sig: int) -> list[int]:
     return [int(x[0]) & BLOOM - 1, int(x[0]) >> 32 & BLOOM - 1]
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id)."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, n, sig, component, component_id) of each document; the last two are null without shingles."""
     docs = only(docs, "doc_id", "text")
     described = written(_describe(docs))
-    rows = described.where("sig is not null").select("doc_id", "n", "sig")
+    rows = described.where("sig is not null").select("doc_id", "row", "n", "sig")
     tiles = written(_tiles(_prefix_blocks(docs, _frequent(described), partitions(docs.sparkSession))))
     first = _verified(docs, described, tiles.where("n is null").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     comps = written(components(first))
@@ -315,6 +317,25 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
     classes = classes.join(comps, classes["sig"] == comps["node"], "left").select("sig", "least", F.coalesce("component", "sig").alias("component"))
     groups = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = classes.join(groups, "component").select(F.col("sig").alias("s"), "component_id")
-    linked = rows.where("n > 0").join(of, F.col("sig") == F.col("s"), "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
-    return linked.unionByName(rows.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    of = classes.join(groups, "component").select(F.col("sig").alias("s"), "component", "component_id")
+    linked = rows.where("n > 0").join(of, F.col("sig") == F.col("s"), "left").drop("s")
+    return linked.unionByName(rows.where("n = 0"), allowMissingColumns=True)
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id)."""
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return _grouped(docs).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each component, all columns: the least doc_id's (null last), of its texts the one with the least hash. Wordless documents stay."""
+    rows = written(_grouped(docs))
+    linked = rows.where("n > 0")
+    best = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b"))
+    keep = best.select("b.doc_id", "b.row").unionByName(rows.where("n = 0").select("doc_id", "row")).distinct()
+    keyed = docs.withColumn("row of a text", F.xxhash64(F.col("text").cast("string")))
+    found = keyed.join(keep.select(F.col("doc_id").alias("kept id"), F.col("row").alias("kept row")), F.col("doc_id").eqNullSafe(F.col("kept id")) & (F.col("row of a text") == F.col("kept row")), "left_semi")
+    if linked.groupBy("doc_id", "row").count().where("count > 1").limit(1).count():  # repeated rows
+        found = found.dropDuplicates(["doc_id", "row of a text"])
+    return found.drop("row of a text")

@@ -94,10 +94,8 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     return float(values[int(np.argmax(rate))]) - MARGIN
 
 
-def _kth_largest(keys: DataFrame, k: int) -> int | None:
-    """The k-th largest of a column of ordered longs, by counts of 16 bits a pass."""
-    if k <= 0:
-        return None
+def _kth_largest(keys: DataFrame, k: int) -> int:
+    """The k-th largest (k > 0) of a column of longs ordered as unsigned, by counts of 16 bits a pass."""
     prefix, left = 0, k
     part = keys.select((F.col("key")).alias("x"))
     for shift in (48, 32, 16, 0):
@@ -113,37 +111,60 @@ def _kth_largest(keys: DataFrame, k: int) -> int | None:
     return prefix
 
 
-def importance(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def _key(w: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Perturbed weights and their image as longs, ordered as unsigned."""
+    u = ((noise.view(U) >> U(11)).astype(float) + 0.5) / (1 << 53)
+    g = w - np.log(-np.log(u)) + 0.0
+    bits = g.view(np.int64)
+    return g, np.where(bits < 0, ~bits, bits | np.int64(-(1 << 63)))
+
+
+def _fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, DataFrame, int | None]:
+    """Log ratios by bucket, the scored documents, and the least key that is kept (unsigned; None: no label decides)."""
     docs = only(docs, "doc_id", "text")
     known = only(labels, "doc_id", "quality").where("quality is not null and doc_id is not null").distinct()
     ids = None
-    for value in (1, 0):
-        part = known.where((F.col("quality") > 0) == F.lit(value == 1)).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(FIT)
+    for value in (True, False):
+        part = known.where((F.col("quality") > 0) == F.lit(value)).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(FIT)
         ids = part if ids is None else ids.unionByName(part)
-    ids = ids.toPandas()  # 2 * FIT rows at most
-    fit = docs.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id bigint, quality int")), "doc_id")
-    target, raw = _counts(fit.where("quality > 0")), _counts(docs)
-    ratio = log_ratio(target, raw)
-    noise = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text"))
+    ids = F.broadcast(docs.sparkSession.createDataFrame(ids.toPandas(), "doc_id bigint, quality int"))  # 2 * FIT rows at most
+    ratio = log_ratio(_counts(docs.join(ids, "doc_id").where("quality > 0")), _counts(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = _weights(binary(batch.column("text")), ratio)
-            u = ((batch.column("noise").to_numpy().view(U) >> U(11)).astype(float) + 0.5) / (1 << 53)
-            g = w - np.log(-np.log(u))
-            bits = (g + 0.0).view(np.int64)
-            key = np.where(bits < 0, ~bits, bits | np.int64(-(1 << 63))).astype(np.int64)  # ordered as unsigned
+            g, key = _key(w, batch.column("noise").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w), pa.array(g), pa.array(key)], names=["doc_id", "log_weight", "perturbed", "key"])
 
-    scored = written(docs.select("doc_id", "text", noise.alias("noise")).mapInArrow(run, "doc_id bigint, log_weight double, perturbed double, key bigint"))
-    sample = scored.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id bigint, quality int")), "doc_id").select("quality", "log_weight").toPandas()
+    scored = written(docs.select("doc_id", "text", _noise().alias("noise")).mapInArrow(run, "doc_id bigint, log_weight double, perturbed double, key bigint"))
+    sample = scored.join(ids, "doc_id").select("quality", "log_weight").toPandas()
     good, bad = (sample.loc[(sample["quality"] > 0) == v, "log_weight"].to_numpy() for v in (True, False))
     if not len(good) or not len(bad):
-        return scored.select("doc_id", "log_weight", "perturbed", F.lit(True).alias("kept"))
+        return ratio, scored, None
     k = scored.where(F.col("log_weight") >= best_cut(good, bad)).count()
-    least = _kth_largest(scored, k)
-    if least is None:
-        return scored.select("doc_id", "log_weight", "perturbed", F.lit(False).alias("kept"))
-    flip = -(1 << 63)  # unsigned order as signed
-    signed = (least ^ (1 << 63)) - ((least ^ (1 << 63)) >> 63 << 64)
-    return scored.select("doc_id", "log_weight", "perturbed", (F.col("key").bitwiseXOR(F.lit(flip)) >= F.lit(signed)).alias("kept"))
+    return ratio, scored, _kth_largest(scored, k)
+
+
+def _noise() -> F.Column:
+    return F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text"))
+
+
+def importance(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    _, scored, least = _fit(docs, labels)
+    flip = 1 << 63  # unsigned order as signed
+    kept = F.lit(True) if least is None else F.col("key").bitwiseXOR(F.lit(-flip)) >= F.lit(least - flip)
+    return scored.select("doc_id", "log_weight", "perturbed", kept.alias("kept"))
+
+
+def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The kept documents, all columns: scored again by the same model, so no text is shuffled."""
+    ratio, _, least = _fit(docs, labels)
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, key = _key(_weights(binary(batch.column(at)), ratio), batch.column(len(names)).to_numpy())
+            yield batch.select(range(len(names))).filter(pa.array(key.view(U) >= U(least)))
+
+    return docs if least is None else docs.select("*", _noise().alias("noise of a row")).mapInArrow(run, docs.schema)

@@ -73,8 +73,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_language, op3_leaks, op4_jaccard, op5_toxicity, op6_secrets, op7_quality_rules, op8_substrings, op9_importance, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_language, op3_leaks, op4_jaccard, op5_toxicity, op6_secrets, op7_quality_rules, op8_substrings, op9_importance, op10_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
