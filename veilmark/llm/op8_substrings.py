@@ -38,7 +38,7 @@ from .common import U, mix, only, partitions, split_words, windows, written
 
 WINDOW = 13
 SEED = 3
-CHUNK = 2_000_000  # windows that a task settles at a time
+CHUNK = 1_500_000  # windows that a task settles at a time
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 _BLOCK = "part int, hashes binary, doc binary, row binary, pos binary, len binary, fragments binary"
 #: a document's row, its first window, number of windows, and where they occur earlier
@@ -232,7 +232,7 @@ def _texts(docs: DataFrame, parts: int) -> DataFrame:
 
 def deduplicated(docs: DataFrame, full: bool = False) -> DataFrame:
     """A row for each document; full adds the kept text and the factors."""
-    parts = partitions(docs.sparkSession)
+    parts = 4 * partitions(docs.sparkSession)  # several small blocks in a task
     blocks = index_blocks(docs, parts)
     fragments = written(match_blocks(blocks, parts))
     del blocks  # its shuffle files can go
