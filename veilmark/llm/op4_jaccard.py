@@ -8,11 +8,12 @@ sequence as one). Documents link when 100 * intersection >= 80 * union.
    n - ceil(0.8 n) + 1 shingles of each share one. The order puts shingles in many documents last;
    they come from counts of all documents in a table of fixed size, each task's cells above
    chance being summed. Prefixes go to partitions by shingle, packed into arrays.
+   A shingle's place in the order bounds what two sets can still share from there on.
 3. The classes that share a prefix shingle form tiles by size band (sizes in a ratio of 1.25, so
    links cross one band border at most). A shingle in more than TILE documents is split into a
    grid of tiles, so no tile grows with the data.
-4. In each tile the band's least class is paired with all others. These few pairs are verified
-   and give first components.
+4. In each tile the PIVOTS classes with the earliest places are paired with all others. These few
+   pairs are verified and give first components.
 5. Tiles whose classes are not all in one component then give every pair between different
    components. So no pair that could still join two components is left out, and no group is
    expanded into all its pairs.
@@ -37,9 +38,11 @@ from .graph import components
 
 N = 5
 BITS = 4
-TABLE = 1 << 22  # cells of the count of documents by shingle
-SHARE = 0.0005  # of the documents: shingles in more go last
-LEAST_HOT = 64
+TABLE = 1 << 24  # cells of the count of documents by shingle
+COUNTED = 60_000  # sets that a task counts before it hands its cells on
+SHARE = 0.00005  # of the documents: shingles in more go last
+LEAST_HOT = 16
+PIVOTS = 12
 TILE = 20_000
 BLOOM = 1 << 23  # bits
 _BAND = np.log(1.25)
@@ -87,38 +90,54 @@ def links(n: int, m: int, common: int) -> bool:
     return 100 * common >= 80 * (n + m - common)
 
 
+def can_link(n: np.ndarray, v: np.ndarray, m: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles can link whose first common one has places v and w in the order.
+
+    A tile applies it to every shingle that two sets share; a pair that links passes at the first.
+    """
+    return 9 * np.minimum(n - v, m - w) >= 4 * (n + m)
+
+
 def _describe(docs: DataFrame) -> DataFrame:
     """A row (doc_id, row, n, sig, bitmap) for each document, the bitmap once for each class and task; and rows of counts (cell as doc_id, n; sig null)."""
     names = ["doc_id", "row", "n", "sig", "bitmap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, total, seen = np.zeros(TABLE, np.int32), 0, set()
+        cells, total, counted, seen = np.zeros(TABLE, np.uint16), 0, 0, set()
+
+        def hand_on() -> pa.RecordBatch:
+            at = np.flatnonzero(cells >= max(4, 4 * total / TABLE + 3))
+            nulls = pa.nulls(len(at), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(at), nulls, pa.array(cells[at].astype(np.int32)), nulls, pa.nulls(len(at), pa.binary())], names=names)
+
         for batch in batches:
             n, sig, bits = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
             for i, s in shingle_sets(binary(batch.column("text"))):
                 n[i] = len(s)
                 if len(s):
                     sig[i] = signature(s)
-                    total += len(s)
-                    np.add.at(cells, (s & U(TABLE - 1)).astype(np.int64), 1)
+                    at = (s & U(TABLE - 1)).astype(np.int64)
+                    cells[at] += 1  # two shingles of a text in one cell count once
+                    total, counted = total + len(s), counted + 1
+                    if counted == COUNTED:
+                        yield hand_on()
+                        cells[:], total, counted = 0, 0, 0
                     if sig[i] not in seen:
                         seen.add(int(sig[i]))
                         bits[i] = bitmap(s)
                         if len(seen) > 200_000:
                             seen.clear()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n), pa.array(sig), pa.array(bits, pa.binary())], names=names)
-        at = np.flatnonzero(cells >= max(8, 4 * total / TABLE + 4))
-        nulls = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(at), nulls, pa.array(cells[at]), nulls, pa.nulls(len(at), pa.binary())], names=names)
+        yield hand_on()
 
     return only(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id bigint, row bigint, n int, sig bigint, bitmap binary")
 
 
-def _frequent(described: DataFrame) -> dict[int, int]:
+def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Cells in more than SHARE of the documents, with their counts: at most the mean set size / SHARE, and TABLE."""
     most = max(LEAST_HOT, SHARE * described.where("sig is not null").count())
-    rows = described.where("sig is null").groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= most).collect()
-    return {r["doc_id"]: r["n"] for r in rows}
+    rows = described.where("sig is null").groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= most).toPandas()
+    return rows["doc_id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
 def prefix(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -129,25 +148,25 @@ def prefix(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, r))[:length]]
 
 
-def _prefix_blocks(docs: DataFrame, hot: dict[int, int], parts: int) -> DataFrame:
-    """Packed prefix shingles by partition: shingle (or tile of one), signature, size, side of the tile."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.fromiter(hot, np.int64, len(hot)), np.fromiter(hot.values(), np.int64, len(hot))))
-    names = ["part", "tokens", "sigs", "ns", "sides"]
+def _prefix_blocks(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
+    """Packed prefix shingles by partition: shingle (or tile of one), signature, size, place in the prefix, side of the tile."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot[0].astype(np.int32), np.log2(np.maximum(hot[1], 2)).astype(np.uint8)))
+    names = ["part", "tokens", "sigs", "ns", "places", "sides"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, counts = shared.value
-        rank, grid = np.zeros(TABLE, np.uint8), np.ones(TABLE, np.int32)
-        rank[cells] = np.log2(counts).astype(np.uint8)
-        grid[cells] = 1 + counts // TILE
+        cells, size_of = shared.value
+        rank = np.zeros(TABLE, np.uint8)
+        rank[cells] = size_of
+        grid = 1 + (1 << np.arange(64, dtype=np.uint64)).astype(np.float64) * 2 // TILE  # sides of a shingle's grid of tiles, by rank
         held, size, seen = [], 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            t, g, n, d = (np.concatenate(x) for x in zip(*held, strict=True))
+            t, g, n, w, d = (np.concatenate(x) for x in zip(*held, strict=True))
             p = (mix(t) % U(parts)).astype(np.int64)
             order = np.argsort(p, kind="stable")
             cut = np.searchsorted(p[order], np.arange(parts + 1))
             full = np.flatnonzero(np.diff(cut))
-            columns = [[x[order[cut[i] : cut[i + 1]]].tobytes() for i in full] for x in (t, g, n, d)]
+            columns = [[x[order[cut[i] : cut[i + 1]]].tobytes() for i in full] for x in (t, g, n, w, d)]
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=names)
 
         for batch in batches:
@@ -158,18 +177,19 @@ def _prefix_blocks(docs: DataFrame, hot: dict[int, int], parts: int) -> DataFram
                 if len(seen) > 200_000:
                     seen.clear()
                 t = prefix(s, rank)
-                g = grid[(t & U(TABLE - 1)).astype(np.int64)]
-                side = np.zeros(len(t), np.uint8)
+                g = grid[rank[(t & U(TABLE - 1)).astype(np.int64)]].astype(np.int64)
+                side, place = np.zeros(len(t), np.uint8), np.arange(len(t), dtype=np.int32)
                 if (g > 1).any():
-                    more_t, more_d = [t[g == 1]], [side[g == 1]]
-                    for x, k in zip(t[g > 1], g[g > 1].tolist(), strict=True):
+                    more_t, more_p, more_d = [t[g == 1]], [place[g == 1]], [side[g == 1]]
+                    for x, y, k in zip(t[g > 1], place[g > 1], g[g > 1].tolist(), strict=True):
                         own = (sig & (1 << 63) - 1) % k
                         other = np.arange(k)
                         low, high = np.minimum(own, other), np.maximum(own, other)
                         more_t.append(mix(x ^ mix((low * k + high + 1).astype(U))))
+                        more_p.append(np.full(k, y))
                         more_d.append(np.where(other == own, 0, np.where(own < other, 1, 2)).astype(np.uint8))
-                    t, side = np.concatenate(more_t), np.concatenate(more_d)
-                held.append((t, np.full(len(t), sig, np.int64), np.full(len(t), len(s), np.int32), side))
+                    t, place, side = np.concatenate(more_t), np.concatenate(more_p), np.concatenate(more_d)
+                held.append((t, np.full(len(t), sig, np.int64), np.full(len(t), len(s), np.int32), place, side))
                 size += len(t)
                 if size > 1_500_000:
                     yield from flush()
@@ -177,63 +197,67 @@ def _prefix_blocks(docs: DataFrame, hot: dict[int, int], parts: int) -> DataFram
         if held:
             yield from flush()
 
-    return only(docs, "text").mapInArrow(run, "part int, tokens binary, sigs binary, ns binary, sides binary")
+    return only(docs, "text").mapInArrow(run, "part int, tokens binary, sigs binary, ns binary, places binary, sides binary")
 
 
 def _tiles(blocks: DataFrame) -> DataFrame:
-    """Of shingles in several classes: their classes (x shingle, y class, n, side), and each band's first class paired with the others (x, y; n null)."""
+    """Of shingles in several classes: their classes (x shingle, y class, n, place, side), and each band's first class paired with the others (x, y; n null)."""
 
     def run(table: pa.Table) -> pa.Table:
-        t, g, n, d = (np.concatenate([np.frombuffer(x, k) for x in table.column(c).to_pylist()]) for c, k in (("tokens", U), ("sigs", np.int64), ("ns", np.int32), ("sides", np.uint8)))
+        t, g, n, w, d = (np.concatenate([np.frombuffer(x, k) for x in table.column(c).to_pylist()]) for c, k in (("tokens", U), ("sigs", np.int64), ("ns", np.int32), ("places", np.int32), ("sides", np.uint8)))
         # only shingles that occur again need the full sort
         order = np.argsort(t)
         same = t[order][1:] == t[order][:-1]
         many = np.zeros(len(t), bool)
         many[order[1:][same]] = True
         many[order[:-1][same]] = True
-        t, g, n, d = t[many], g[many], n[many], d[many]
+        t, g, n, w, d = t[many], g[many], n[many], w[many], d[many]
         band = (np.log(n) / _BAND + 1e-9).astype(np.int32)
         order = np.lexsort((g, band, t))
-        t, g, n, d, band = t[order], g[order], n[order], d[order], band[order]
+        t, g, n, w, d, band = t[order], g[order], n[order], w[order], d[order], band[order]
         if len(t):
             first = np.ones(len(t), bool)
             first[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
-            t, g, n, d, band = t[first], g[first], n[first], d[first], band[first]
+            t, g, n, w, d, band = t[first], g[first], n[first], w[first], d[first], band[first]
             run_of = np.cumsum(np.concatenate([[True], t[1:] != t[:-1]])) - 1
             several = np.bincount(run_of)[run_of] > 1
-            t, g, n, d, band = t[several], g[several], n[several], d[several], band[several]
+            t, g, n, w, d, band = t[several], g[several], n[several], w[several], d[several], band[several]
         a = b = np.empty(0, np.int64)
         if len(t):
-            head = np.concatenate([[True], (t[1:] != t[:-1]) | (band[1:] != band[:-1])])
-            pivot = np.maximum.accumulate(np.where(head, np.arange(len(t)), 0))
-            rest = np.flatnonzero(~head)
-            heads = np.flatnonzero(head)
-            next_band = (t[heads[1:]] == t[heads[:-1]]) & (band[heads[1:]] == band[heads[:-1]] + 1)
-            a = np.concatenate([g[pivot[rest]], g[heads[:-1][next_band]]])
-            b = np.concatenate([g[rest], g[heads[1:][next_band]]])
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            tile = np.cumsum(np.concatenate([[True], (t[1:] != t[:-1]) | (band[1:] != band[:-1])])) - 1
+            heads = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+            pairs = np.empty((0, 2), np.int64)
+            # shingles of its own come first in a set's order, so an early place is that of a set near the middle of its group
+            order, size = np.lexsort((mix(g.view(U)), w, tile)), np.diff(np.append(heads, len(t)))
+            for k in range(PIVOTS):
+                pivot = order[heads + np.minimum(k, size - 1)]
+                next_band = (t[heads[1:]] == t[heads[:-1]]) & (band[heads[1:]] == band[heads[:-1]] + 1)
+                i, j = np.concatenate([pivot[tile], pivot[:-1][next_band]]), np.concatenate([np.arange(len(t)), pivot[1:][next_band]])
+                near = (i != j) & can_link(n[i], w[i], n[j], w[j])
+                a, b = g[i[near]], g[j[near]]
+                pairs = np.unique(np.concatenate([pairs, np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)]), axis=0)
             a, b = pairs[:, 0], pairs[:, 1]
-        return pa.table({"x": np.concatenate([t.view(np.int64), a]), "y": np.concatenate([g, b]), "n": pa.concat_arrays([pa.array(n, pa.int32()), pa.nulls(len(a), pa.int32())]), "side": np.concatenate([d.astype(np.int32), np.zeros(len(a), np.int32)])})
+        return pa.table({"x": np.concatenate([t.view(np.int64), a]), "y": np.concatenate([g, b]), "n": pa.concat_arrays([pa.array(n, pa.int32()), pa.nulls(len(a), pa.int32())]), "place": np.concatenate([w, np.zeros(len(a), np.int32)]), "side": np.concatenate([d.astype(np.int32), np.zeros(len(a), np.int32)])})
 
-    return blocks.groupBy("part").applyInArrow(run, "x bigint, y bigint, n int, side int")
+    return blocks.groupBy("part").applyInArrow(run, "x bigint, y bigint, n int, place int, side int")
 
 
 def _cross(entries: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs of classes in different components within a tile that are near enough in size."""
-    known = entries.join(comps, entries["y"] == comps["node"], "left").select("x", "y", "n", "side", F.coalesce("component", "y").alias("c"))
+    known = entries.join(comps, entries["y"] == comps["node"], "left").select("x", "y", "n", "place", "side", F.coalesce("component", "y").alias("c"))
     mixed = known.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("x")
-    tiles = known.join(mixed, "x").groupBy("x").agg(F.collect_list(F.struct("n", "y", "c", "side")).alias("rows"))  # TILE rows at most, twice
+    tiles = known.join(mixed, "x").groupBy("x").agg(F.collect_list(F.struct("n", "y", "c", "place", "side")).alias("rows"))  # TILE rows at most, twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.empty((0, 2), np.int64)]
             for rows in batch.column("rows").to_pylist():
                 rows.sort(key=lambda r: (r["n"], r["y"]))
-                n, g, c, d = (np.array([r[k] for r in rows]) for k in ("n", "y", "c", "side"))
+                n, g, c, w, d = (np.array([r[k] for r in rows]) for k in ("n", "y", "c", "place", "side"))
                 last = np.searchsorted(n, np.floor(n * 1.25), side="right")
                 for i in range(len(n) - 1):
                     j = np.arange(i + 1, last[i])
-                    j = j[(c[j] != c[i]) & ((d[j] + d[i] == 3) | (d[j] + d[i] == 0))]
+                    j = j[(c[j] != c[i]) & ((d[j] + d[i] == 3) | (d[j] + d[i] == 0)) & can_link(n[i], w[i], n[j], w[j])]
                     if len(j):
                         out.append(np.stack([np.minimum(g[i], g[j]), np.maximum(g[i], g[j])], axis=1))
             pairs = np.unique(np.concatenate(out), axis=0)
