@@ -127,8 +127,18 @@ def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+BATCH_ROWS = 1000  # of an Arrow batch at most, for the memory of executors and their Python workers
+
+
+def small_batches(df: DataFrame) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+
+
 def only(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns; one that is absent is null. Other columns never reach an operator."""
+    small_batches(docs)
     kinds = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint", "item_id": "bigint", "quality": "int", "toxic": "int"}
     have = set(docs.columns)
     return docs.select(*((F.col(f"`{n}`") if n in have else F.lit(None)).cast(kinds.get(n, "string")).alias(n) for n in names))

@@ -43,6 +43,7 @@ COUNTED = 60_000  # sets that a task counts before it hands its cells on
 SHARE = 0.00005  # of the documents: shingles in more go last
 LEAST_HOT = 16
 PIVOTS = 12
+FLUSH = 400_000  # prefix shingles that a task packs at a time
 TILE = 20_000
 BLOOM = 1 << 23  # bits
 _BAND = np.log(1.25)
@@ -191,7 +192,7 @@ def _prefix_blocks(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: i
                     t, place, side = np.concatenate(more_t), np.concatenate(more_p), np.concatenate(more_d)
                 held.append((t, np.full(len(t), sig, np.int64), np.full(len(t), len(s), np.int32), place, side))
                 size += len(t)
-                if size > 1_500_000:
+                if size > FLUSH:
                     yield from flush()
                     held, size = [], 0
         if held:

@@ -38,7 +38,7 @@ from .common import U, mix, only, partitions, split_words, windows, written
 
 WINDOW = 13
 SEED = 3
-CHUNK = 1_500_000  # windows that a task settles at a time
+CHUNK = 700_000  # windows that a task settles at a time
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 _BLOCK = "part int, hashes binary, doc binary, row binary, pos binary, len binary, fragments binary"
 #: a document's row, its first window, number of windows, and where they occur earlier
