@@ -133,7 +133,7 @@ LEXICAL = {"email": email, "imei": imei, "mac": mac, "ipv4": ipv4, "uuid": uuid,
 
 
 def _value(c: Context, guard: Column, pattern: str, kind: Callable[[Column], Column], keep: Callable[[Column], Column] = lambda v: F.lit(True), canonical: Callable[[Column], Column] = lambda v: v, trim: bool = False) -> Column:
-    v = lambda x: F.trim(x["g2"]) if trim else x["g2"]
+    v = lambda x: F.regexp_replace(x["g2"], r"^\s+|\s+$", "") if trim else x["g2"]
     return _all(c, guard, pattern, lambda x: keep(v(x)), lambda x: _hit(kind(v(x)), v(x), canonical(v(x)), F.lit(HIGH), x["start"] + F.length(x["g1"])), (1, 2))
 
 
