@@ -247,14 +247,20 @@ def _cross(entries: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs of classes in different components within a tile that are near enough in size."""
     known = entries.join(comps, entries["y"] == comps["node"], "left").select("x", "y", "n", "place", "side", F.coalesce("component", "y").alias("c"))
     mixed = known.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("x")
-    tiles = known.join(mixed, "x").groupBy("x").agg(F.collect_list(F.struct("n", "y", "c", "place", "side")).alias("rows"))  # TILE rows at most, twice
+    rows = F.sort_array(F.collect_list(F.struct("y", "n", "c", "side", "place")))  # TILE rows at most, twice
+    tiles = known.join(mixed, "x").groupBy("x").agg(rows.alias("rows"))
+    tiles = tiles.select(F.transform("rows", lambda r: F.struct(r["y"].alias("y"), r["n"].alias("n"), r["c"].alias("c"), r["side"].alias("side"))).alias("members"), F.transform("rows", lambda r: r["place"]).alias("places"))
+    # shingles of one passage mostly are in the same classes: one tile for all of them, with each class's earliest place
+    tiles = tiles.groupBy(F.xxhash64("members").alias("h"), F.xxhash64(F.lit(1), "members").alias("k")).agg(F.first("members").alias("members"), F.collect_list("places").alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.empty((0, 2), np.int64)]
-            for rows in batch.column("rows").to_pylist():
-                rows.sort(key=lambda r: (r["n"], r["y"]))
-                n, g, c, w, d = (np.array([r[k] for r in rows]) for k in ("n", "y", "c", "place", "side"))
+            for members, places in zip(batch.column("members").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                n, g, c, d = (np.array([r[k] for r in members]) for k in ("n", "y", "c", "side"))
+                w = np.min(np.array(places), axis=0)
+                order = np.lexsort((g, n))
+                n, g, c, d, w = n[order], g[order], c[order], d[order], w[order]
                 last = np.searchsorted(n, np.floor(n * 1.25), side="right")
                 for i in range(len(n) - 1):
                     j = np.arange(i + 1, last[i])
@@ -264,7 +270,7 @@ def _cross(entries: DataFrame, comps: DataFrame) -> DataFrame:
             pairs = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return tiles.select("rows").mapInArrow(run, "a bigint, b bigint").distinct()
+    return tiles.select("members", "places").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
