@@ -1,7 +1,10 @@
 import os
 import sys
 
-import pytest
+for _threads in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+    os.environ.setdefault(_threads, "1")  # before numpy is imported
+
+import pytest  # noqa: E402
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
