@@ -79,7 +79,7 @@ def tokenizer():
 
 @pytest.fixture(scope="module", autouse=True)
 def quick_tagger():
-    op1_pii.EXAMPLES, op1_pii.EPOCHS = 480, 4
+    op1_pii.EXAMPLES, op1_pii.EPOCHS = 192, 2
 
 
 @pytest.mark.parametrize("name", list(OPERATORS))
