@@ -283,6 +283,14 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
 
 
+def test_marks_of_a_small_language():
+    rng = random.Random(12)
+    text = lambda lang, *more: (" ".join(rng.sample(w := prose(60, lang, rng).split() + list(more), len(w))), lang)
+    toxic = [text("en", *(["grumblefool"] * 2)) for _ in range(1480)] + [text("de", "ekelwicht") for _ in range(20)]
+    got = op5_toxicity.marks(toxic, [text("en") for _ in range(300)] + [text("de") for _ in range(100)])
+    assert b" grumblefool" in got and b" ekelwicht" in got  # 20 contexts are fewer than 1.5 % of all toxic texts
+
+
 # ---- op6
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

@@ -1,10 +1,14 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
 Both dictionaries begin alike, with frequent words of ordinary labelled text; the toxic one has
-before it the segments that mark toxic labelled text. Segments are words and beginnings of words.
-A segment's frequency is the number of distinct pairs of neighbouring words it occurs between, so
-copies of one text count once; it enters if it is frequent in toxic text and FACTOR times as
-frequent there as in ordinary text. Each window of a text (WINDOW bytes of its lower-case UTF-8
+before it the segments that mark toxic labelled text. Segments are words and beginnings of words;
+those of words under four bytes end in a blank. A segment's frequency is the number of distinct
+pairs of neighbouring words it occurs between, so copies of one text count once. It enters if, in
+some language or over all of them, it is FACTOR times as frequent in toxic text as in ordinary text
+of the same language, and chance would put so much of it there with probability ALPHA at most, over
+all segments of that language (Bonferroni, Chernoff bound). So the support that a mark needs does
+not grow with the number of toxic texts in other languages. A language without ordinary text is held
+against all of it. Each window of a text (WINDOW bytes of its lower-case UTF-8
 with single spaces between words, half overlapping) is compressed with both. Where the toxic dictionary saves FIRST bytes or more,
 the window is compressed again at the level of an optimal parse, and the largest saving there is
 the text's evidence. A logistic curve, centred on the saving that separates the labelled texts
@@ -34,7 +38,7 @@ FIT_CLEAN = 2500
 WINDOW = 128
 FIRST = 1
 LEVELS = (6, 19)
-SHARE = 0.015  # of the toxic texts
+ALPHA = 0.05
 LEAST = 4
 FACTOR = 30
 DICT_BYTES = 16_000
@@ -45,7 +49,9 @@ _EDGE = b".,!?%*$#&|\"'();:"
 
 def segments(word: bytes) -> set[bytes]:
     w = b" " + word.strip(_EDGE)
-    return {w[:k] for k in range(5, min(len(w), 9) + 1)} | ({w} if len(w) >= 5 else set())
+    if len(w) < 5:
+        return {w + b" "} if len(w) >= 3 else set()
+    return {w[:k] for k in range(5, min(len(w), 9) + 1)} | {w}
 
 
 def _marks(words: list[bytes]) -> Iterator[tuple[bytes, int]]:
@@ -56,28 +62,59 @@ def _marks(words: list[bytes]) -> Iterator[tuple[bytes, int]]:
             yield x, context
 
 
-def dictionaries(toxic: list[str], clean: list[str]) -> tuple[bytes, bytes] | None:
-    """The ordinary and the toxic dictionary; None if nothing marks the toxic texts."""
-    seen: dict[bytes, set[int]] = defaultdict(set)
-    for t in toxic:
-        for x, c in _marks(t.lower().encode().split()):
-            seen[x].add(c)
-    least = max(LEAST, SHARE * len(toxic))
-    seen = {x: c for x, c in seen.items() if len(c) >= least}
-    other: dict[bytes, set[int]] = defaultdict(set)
-    usual: Counter[bytes] = Counter()
-    for t in clean:
+def _chance(k: int, n: int, mean: float) -> float:
+    """Logarithm of a bound (Chernoff) on the chance that k or more of n draws hit, where mean are expected to."""
+    a, p = k / n, min(1 - 1e-9, mean / n)
+    return 0.0 if a <= p else -n * (a * math.log(a / p) + ((1 - a) * math.log((1 - a) / (1 - p)) if a < 1 else 0.0))
+
+
+def marks(toxic: list[tuple[str, str]], clean: list[tuple[str, str]]) -> list[bytes]:
+    """Segments that mark the toxic ones of texts with their languages, the most frequent in their language last."""
+    seen: dict[bytes, dict[str, set[int]]] = defaultdict(lambda: defaultdict(set))
+    other: dict[bytes, dict[str, set[int]]] = defaultdict(lambda: defaultdict(set))
+    size: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+    for t, lang in toxic:
         words = t.lower().encode().split()
-        usual.update({b" " + w for w in words})
+        size[0][lang] += len(words)
+        for x, c in _marks(words):
+            seen[x][lang].add(c)
+    tests = {lang: sum(lang in by for by in seen.values()) for lang in size[0]}
+    every = len(seen)
+    seen = {x: by for x, by in seen.items() if sum(map(len, by.values())) >= LEAST}
+    for t, lang in clean:
+        words = t.lower().encode().split()
+        size[1][lang] += len(words)
         for x, c in _marks(words):
             if x in seen:
-                other[x].add(c)
-    rate = max(1, len(toxic)) / max(1, len(clean))
-    chosen = sorted((len(c), x) for x, c in seen.items() if len(c) >= FACTOR * (len(other[x]) + 0.5) * rate)
+                other[x][lang].add(c)
+    overall = max(1, size[0].total()) / max(1, size[1].total())
+    rate = {lang: size[0][lang] / size[1][lang] if size[1][lang] else overall for lang in size[0]}
+
+    def marked(parts: list[tuple[int, int, float]], of: int) -> bool:
+        """Of (toxic contexts, ordinary ones, rate of the language)."""
+        k, n = sum(a for a, _, _ in parts), sum(a + b for a, b, _ in parts)
+        least = sum(b * r for _, b, r in parts) + 0.5 * max(r for _, _, r in parts)
+        return k >= max(LEAST, FACTOR * least) and _chance(k, n, sum((a + b) * r / (1 + r) for a, b, r in parts)) <= math.log(ALPHA / of)
+
+    chosen = []
+    for x, by in seen.items():
+        usual = {lang: len(c) for lang, c in other[x].items()} if x in other else {}
+        parts = {lang: (len(by.get(lang, ())), usual.get(lang, 0) if size[1][lang] else sum(usual.values()), r) for lang, r in rate.items() if lang in by or lang in usual}
+        if any(marked([p], tests[lang]) for lang, p in parts.items()) or marked(list(parts.values()), every):
+            chosen.append((max(len(c) / size[0][lang] for lang, c in by.items()), x))
+    return [x for _, x in sorted(chosen)]
+
+
+def dictionaries(toxic: list[tuple[str, str]], clean: list[tuple[str, str]]) -> tuple[bytes, bytes] | None:
+    """The ordinary and the toxic dictionary of texts with their languages; None if nothing marks the toxic texts."""
+    chosen = marks(toxic, clean)
     if not chosen:
         return None
+    usual: Counter[bytes] = Counter()
+    for t, _ in clean:
+        usual.update({b" " + w for w in t.lower().encode().split()})
     base = b"".join(w for w, _ in sorted(usual.items(), key=lambda x: (x[1], x[0]))[-4000:])[-DICT_BYTES:] + b" "
-    return base, b"".join(x for _, x in chosen)[-TOXIC_BYTES:] + base
+    return base, b"".join(chosen)[-TOXIC_BYTES:] + base
 
 
 class Distance:
@@ -120,10 +157,12 @@ def _fit(docs: DataFrame, labels: DataFrame) -> tuple[tuple[bytes, bytes] | None
     for value, most in ((1, FIT_TOXIC), (0, FIT_CLEAN)):
         part = learn.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
-    rows = only(docs, "doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text").dropDuplicates().toPandas()
-    rows = rows.sort_values(["doc_id", "text"])
+    rows = only(docs, "doc_id", "text", "lang").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text", "lang").dropDuplicates().toPandas()
+    rows["lang"] = rows["lang"].fillna("")  # null is a language of its own
+    rows = rows.sort_values(["doc_id", "text", "lang"])
     texts = {v: rows.loc[rows["toxic"] == v, "text"].tolist() for v in (1, 0)}
-    found = dictionaries(texts[1], texts[0])
+    langs = {v: rows.loc[rows["toxic"] == v, "lang"].tolist() for v in (1, 0)}
+    found = dictionaries(*(list(zip(texts[v], langs[v], strict=True)) for v in (1, 0)))
     if found is None:
         return None, 0.5
     distance = Distance(*found)
