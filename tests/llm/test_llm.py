@@ -321,6 +321,19 @@ def test_secrets(spark):
     assert got[len(texts) - 2]["spans"] == f"random:{at}:{at + 48}" and got[len(texts) - 1]["spans"] == ""
 
 
+def test_secrets_joined_to_other_text(spark):
+    rng = random.Random(14)
+    token = lambda n, more="": "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more, k=n))
+    secrets = [token(64, "+/") + "==", token(56), token(60), token(60), "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", k=80))]
+    texts = [f"AccountKey={secrets[0]}", f"sig={secrets[1]}", f"my-own_path/{secrets[2]}", f"{secrets[3]}=the-rest+of/it", secrets[4]]
+    rows = [(i, f"{prose(40)} {t} {prose(40)}") for i, t in enumerate(texts)] + [(9, prose(2000)), (10, "=".join(["the"] * 40))]
+    got = {r["doc_id"]: r["spans"] for r in op6_secrets.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for (i, t), x in zip(rows, secrets, strict=False):
+        a, b = t.index(x), t.index(x) + len(x)
+        assert any(s.split(":")[0] == "random" and a <= int(s.split(":")[1]) and int(s.split(":")[2]) <= b for s in got[i].split(",") if s), (i, got[i])
+    assert got[9] == got[10] == ""
+
+
 # ---- op7
 
 

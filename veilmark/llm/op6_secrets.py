@@ -1,8 +1,12 @@
 """Secret scan: base patterns and a randomness test battery.
 
 Base spans come from three patterns; each pattern's cost is linear in the text. Further runs of
-20 or more token characters that no base span overlaps are candidates. A candidate's encoding is
-the smallest alphabet that holds it, and three tests are made on its alphabet positions:
+20 or more token characters are split at an inner '=' (padding stays), and the parts that no base
+span overlaps are candidates. A candidate's encoding is the smallest alphabet that holds it. Where
+none does, since it mixes '+/' with '-_', its parts between '/', and of those that still mix them
+the parts between '-', '_' and '+', are candidates if they have 20 characters; the whole is one too,
+in an alphabet of all token characters, and is not reported where a part of it is. So every part of
+20 or more between '=' is tested. Three tests are made on a candidate's alphabet positions:
 
 * chi-squared against the uniform alphabet. Ordinary text of the same length would give a value
   far above it, with mean and spread known from the corpus's own character frequencies; the
@@ -53,7 +57,10 @@ ENCODINGS = {
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "token": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
+_FIELD = re.compile(r"[^=]+(?:=+\Z)?")
+_CUTS = (re.compile(r"[^/]+"), re.compile(r"[A-Za-z0-9=]+"))
 _SETS = {k: frozenset(v) for k, v in ENCODINGS.items()}
 _RAW = "doc_id bigint, base array<struct<kind:int,start:int,end:int>>, found array<struct<start:int,end:int,encoding:string,n:int,chi2:double,gate:boolean>>, counts array<bigint>"
 
@@ -97,11 +104,27 @@ def battery(token: str) -> tuple[str, int, float, bool] | None:
     return encoding, n, chi2, gate
 
 
+def _parts(text: str, s: int, e: int, level: int = 0) -> Iterator[tuple[int, int]]:
+    """text[s:e], and its parts where it fits only the alphabet of all token characters."""
+    body = text[s:e].rstrip("=")
+    if len(body) < BANDS[0]:
+        return
+    yield s, e
+    if level < len(_CUTS) and ("+" in body or "/" in body) and ("-" in body or "_" in body):
+        for m in _CUTS[level].finditer(text, s, e):
+            yield from _parts(text, *m.span(), level + 1)
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    for run in _TOKEN.finditer(text):
+        for m in _FIELD.finditer(text, *run.span()):
+            yield from _parts(text, *m.span())
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, int, float, bool]]]:
     base, found = base_spans(text), []
-    for m in _TOKEN.finditer(text):
-        s, e = m.span()
-        if not any(a < e and s < b for _, a, b in base) and (r := battery(m[0])):
+    for s, e in candidates(text):
+        if not any(a < e and s < b for _, a, b in base) and (r := battery(text[s:e])):
             found.append((s, e, *r))
     return base, found
 
@@ -166,10 +189,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             for doc_id, base, found in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "base", "found")), strict=True):
                 spans = [(x["start"], x["kind"], x["end"]) for x in base]
                 digest = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
-                for x in found:
+                least = len(spans)
+                for x in reversed(found):  # parts before the whole
                     band = sum(x["n"] >= b for b in BANDS[1:])
                     p = p_value(x["encoding"], x["n"], x["chi2"], x["gate"], frequency)
-                    if band in limit and int(-100 * math.log10(p)) >= limit[band]:
+                    if band in limit and int(-100 * math.log10(p)) >= limit[band] and not any(x["start"] <= s and e <= x["end"] for s, _, e in spans[least:][-1:]):
                         spans.append((x["start"], 3, x["end"]))
                 count = [sum(k == i for _, k, _ in spans) for i in range(3)]
                 rows.append((doc_id, *count, hashlib.sha256(digest.encode()).hexdigest(), ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))))
