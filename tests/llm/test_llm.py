@@ -156,6 +156,21 @@ def test_reconcile_is_optimal():
         assert abs(sum(score[z] for z in got) - best) < 1e-9
 
 
+def test_tagger_keeps_spans_longer_than_a_window(monkeypatch):
+    marked = op1_pii.encode("A")[0]
+
+    def decode(codes, w):
+        on = codes == marked
+        return np.where(on, np.where(np.roll(on, 1, 1) & (np.arange(codes.shape[1]) > 0), 2, 1), 0), on * 1.0
+
+    monkeypatch.setattr(op1_pii, "decode", decode)
+    monkeypatch.setattr(op1_pii, "_TRIGGERS", re.compile("AB"))
+    for n in (2, 31, 40, 50, 63, 64, 75, 300):
+        for at in range(100, 164):
+            text = "." * at + "AB" + "A" * (n - 2) + "." * 100
+            assert op1_pii.tag_texts([text, text[at:], text[: at + n]], {}) == [[(0, at, at + n)], [(0, 0, n)], [(0, at, at + n)]], (n, at)
+
+
 # ---- op2
 
 

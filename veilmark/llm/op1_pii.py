@@ -8,9 +8,11 @@ unlabelled numbers, secrets and words as negatives. It sees character classes an
 carries over to any text.
 
 Windows of WINDOW characters, half overlapping, are tagged by Viterbi decoding. Every kind's
-written form has a digit or an @, so a window without either holds no span and is not decoded. The
-spans of all windows are reconciled over the whole text: those that touch an inner window edge are
-left to the neighbour, and of overlapping ones the set of greatest total score is chosen by dynamic
+written form has a digit or an @, so a window without either is decoded only if a piece in its
+neighbour reaches their common edge. Pieces that touch an inner window edge are left to a whole span
+of any window that they overlap; the others are stitched with the overlapping pieces of the same kind
+in the neighbours, so a span may be of any length. A stitched span needs both its ends inside
+windows. The spans of all windows are reconciled over the whole text: of overlapping ones the set of greatest total score is chosen by dynamic
 programming. A chosen span is added if it overlaps no base span and meets its kind's own rule
 (an @ inside; four parts at most 255; 13 to 19 digits passing Luhn; 9 to 15 digits). Base spans
 always stay.
@@ -24,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -363,31 +365,67 @@ def reconcile(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
+def pieces(tags: np.ndarray, margin: np.ndarray, n: int) -> Iterator[tuple[int, int, int, float]]:
+    """Kind, start, end and score of the spans in the first n positions of a window."""
+    t = 0
+    while t < n:
+        if not tags[t]:
+            t += 1
+            continue
+        kind, b = (int(tags[t]) - 1) // 2, t
+        t += 1
+        while t < n and tags[t] == 2 + 2 * kind:
+            t += 1
+        yield kind, b, t, float(margin[b:t].sum())
+
+
+def stitch(whole: list[tuple[int, int, int, float]], cut: list[tuple[int, int, int, float, bool, bool]]) -> list[tuple[int, int, int, float]]:
+    """Spans of the cut pieces (kind, start, end, score, open to the left, to the right) that no whole span overlaps."""
+    order = sorted(whole, key=lambda x: x[1])
+    starts, upto = [x[1] for x in order], [0]
+    for x in order:
+        upto.append(max(upto[-1], x[2]))
+    out, last = [], None
+    for k, s, e, x, left, right in [*sorted(c for c in cut if upto[bisect_left(starts, c[2])] <= c[1]), (-1, 0, 0, 0.0, True, True)]:
+        if last and last[0] == k and s < last[2]:
+            new = max(0, e - last[2])
+            left = last[4] and (left or s > last[1])
+            right = right if new else last[5] and (right or e < last[2])
+            last = (k, last[1], max(e, last[2]), last[3] + x * new / (e - s), left, right)
+            continue
+        if last and not last[4] and not last[5]:
+            out.append(last[:4])
+        last = (k, s, e, x, left, right)
+    return out
+
+
 def tag_texts(texts: list[str], w: dict[str, np.ndarray]) -> list[list[tuple[int, int, int]]]:
     """Reconciled spans of the tagger in each text."""
     where = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
-    found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-    for a in range(0, len(where), 512):
+    seen, half = set(where), WINDOW // 2
+    whole: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    cut: list[list[tuple[int, int, int, float, bool, bool]]] = [[] for _ in texts]
+    a = 0
+    while a < len(where):
         part = where[a : a + 512]
+        a += len(part)
         codes = np.zeros((len(part), WINDOW), np.int64)
         for r, (i, s) in enumerate(part):
             x = encode(texts[i][s : s + WINDOW])
             codes[r, : len(x)] = x
         tags, margin = decode(codes, w)
         for r, (i, s) in enumerate(part):
-            y, n = tags[r], min(WINDOW, len(texts[i]) - s)
-            t = 0
-            while t < n:
-                if not y[t]:
-                    t += 1
+            for kind, b, t, x in pieces(tags[r], margin[r], min(WINDOW, len(texts[i]) - s)):
+                left, right = b == 0 and s > 0, t == WINDOW and s + t < len(texts[i])
+                if not left and not right:
+                    whole[i].append((kind, s + b, s + t, x))
                     continue
-                kind, b = (int(y[t]) - 1) // 2, t
-                t += 1
-                while t < n and y[t] == 2 + 2 * kind:
-                    t += 1
-                if (b > 0 or s == 0) and (t < WINDOW or s + t == len(texts[i])):
-                    found[i].append((kind, s + b, s + t, float(margin[r, b:t].sum())))
-    return [reconcile(x) for x in found]
+                cut[i].append((kind, s + b, s + t, x, left, right))
+                for to in [s - half] * left + [s + half] * right:
+                    if (i, to) not in seen:
+                        seen.add((i, to))
+                        where.append((i, to))
+    return [reconcile(x + stitch(x, y)) for x, y in zip(whole, cut, strict=True)]
 
 
 def all_spans(texts: list[str], w: dict[str, np.ndarray]) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
