@@ -200,6 +200,16 @@ def test_leaks(docs, benchmark):
     assert {(d, i) for d, t, *_ in ROWS for i, q in items if q in norm(t)} <= set(got)
 
 
+@pytest.mark.parametrize("bound", ["MOST_ITEMS", "MOST_CHARS"])
+def test_leaks_of_a_benchmark_in_blocks(docs, benchmark, bound, monkeypatch):
+    found = lambda: Counter(map(tuple, op3_decontamination.find_leaks(docs, benchmark).collect()))
+    kept = lambda: Counter(map(tuple, op3_decontamination.without_leaks(docs, benchmark).collect()))
+    want = found(), kept()
+    monkeypatch.setattr(op3_decontamination, bound, 1)
+    assert len(list(op3_decontamination.load_items(benchmark))) > 2
+    assert (found(), kept()) == want
+
+
 def test_index_finds_all_within_radius():
     rng = random.Random(3)
     index = op3_decontamination.Index([(i, prose(12, "en", rng).encode()) for i in range(40)])

@@ -12,8 +12,8 @@ weighted Jaccard similarity of their shingle multisets, LEAST or more.
 Only windows can pass whose shingles known to the index make up LEAST of their weight, since the
 similarity is never above that part; others are not fingerprinted. That loses no result.
 
-The benchmark is the index: its items are sent to all tasks, after a check that they are no more
-than MOST_ITEMS and MOST_CHARS. A row for each document and item that it contains, with the best window (the
+The benchmark is the index: its items are sent to all tasks, in blocks of no more than MOST_ITEMS
+and MOST_CHARS (a longer item is a block of its own), each searched against all documents. A row for each document and item that it contains, with the best window (the
 first of equals). Null and empty texts contain nothing and null or empty items are contained in
 nothing. Items with equal ids or texts are items of their own. Repeated documents give repeated
 rows; a null doc_id stays null.
@@ -22,14 +22,14 @@ rows; a null doc_id stays null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import U, binary, mix, only, split_words, windows
+from .common import U, binary, mix, only, small_batches, split_words, windows, written
 
 N = 5
 LEAST = 0.8
@@ -155,17 +155,29 @@ class Index:
         return sorted(best.values(), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
 
 
-def load_items(benchmark: DataFrame) -> list[tuple[int | None, bytes]]:
-    """The benchmark's items, after a check of their size."""
-    items = only(benchmark, "item_id", "text").where("text is not null")
-    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    if n > MOST_ITEMS or chars > MOST_CHARS:
-        raise ValueError(f"the benchmark has {n} items of {chars} characters; search parts of it one after the other")
-    return sorted(((r["item_id"], r["text"].encode()) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+def load_items(benchmark: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The benchmark's items in blocks; one empty block if there are none."""
+    block, chars, first = [], 0, True
+    for r in only(benchmark, "item_id", "text").where("text is not null").toLocalIterator():
+        if block and (len(block) >= MOST_ITEMS or chars + len(r["text"]) > MOST_CHARS):
+            yield in_order(block)
+            block, chars, first = [], 0, False
+        block.append((r["item_id"], r["text"].encode()))
+        chars += len(r["text"])
+    if block or first:
+        yield in_order(block)
+
+
+def in_order(items: list[tuple[int | None, bytes]]) -> list[tuple[int | None, bytes]]:
+    return sorted(items, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(load_items(benchmark))
+    return reduce(DataFrame.union, (_find(docs, items) for items in load_items(benchmark)))
+
+
+def _find(docs: DataFrame, items: list[tuple[int | None, bytes]]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value)
@@ -189,8 +201,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that contain no item."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(load_items(benchmark)), docs.columns
-    at = names.index("text")
+    small_batches(docs)
+    out = None
+    for items in load_items(benchmark):
+        # written between blocks: a task holds one block's index
+        out = _without(docs if out is None else written(out), items)
+    return out
+
+
+def _without(docs: DataFrame, items: list[tuple[int | None, bytes]]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value)
