@@ -378,26 +378,69 @@ def test_quality_rules(docs):
 # ---- op8
 
 
-def test_substrings(docs):
-    got = op8_substrings.deduplicated(docs, full=True).collect()
+def plain_substrings(rows):
     first = {}
-    for doc_id, t, *_ in ROWS:
+    for doc_id, t, *_ in rows:
         w = (t or "").encode().split()
         for i in range(len(w) - 12 if doc_id is not None else 0):
             g = tuple(w[i : i + 13])
             first[g] = min(first.get(g, doc_id), doc_id)
     want = Counter()
-    for doc_id, t, *_ in ROWS:
+    for doc_id, t, *_ in rows:
         w, gone = (t or "").encode().split(), set()
         for i in range(len(w) - 12 if doc_id is not None else 0):
             if first[tuple(w[i : i + 13])] < doc_id:
                 gone |= set(range(i, i + 13))
         want[doc_id, len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest()] += 1
-    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == want
-    text = {d: (t or "").split() for d, t, *_ in ROWS}
-    for r in got:
-        for f in r["factors"]:
-            assert f["n_words"] >= 13 and text[r["doc_id"]][f["start"] : f["start"] + f["n_words"]] == text[f["ref_doc_id"]][f["ref_start"] : f["ref_start"] + f["n_words"]]
+    return want
+
+
+def common_words():
+    """Every text is full of one 3-word sequence, and they share long passages."""
+    rng = random.Random(21)
+    text = lambda n: [x for _ in range(n) for x in ("to", "be", "or", rng.choice("abcdefgh") * rng.randint(1, 3))]
+    shared = [text(12) for _ in range(4)]
+    return [(i, "  ".join(text(rng.randint(1, 20)) + rng.choice(shared) + text(5) + rng.choice(shared) + ["\n"]), "en", "s") for i in range(60)]
+
+
+@pytest.mark.parametrize("change", [{}, {"HOT": 0, "SAMPLE": 1}, {"windows": lambda h, n: op8_windows(h, n) % np.uint64(3 if n == 13 else 7)}, {"BLOCK": 500}])
+def test_substrings(spark, docs, change, monkeypatch):
+    for k, v in change.items():
+        monkeypatch.setattr(op8_substrings, k, v)
+    few = [r for r in ROWS if len(r[1] or "") < 5000]
+    for rows in (ROWS if "windows" not in change else few, common_words()):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        if "windows" in change:  # closures carry functions of modules by name, so a weak hash is tried in this process
+            c = op8_substrings._chunk([(b" ".join(t.encode().split()), d, op8_substrings.row_key(t.encode()), 0) for d, t, *_ in rows if d is not None and len((t or "").split()) > 12])
+            matched, found = op8_substrings.factors(c, c.new)
+            least = {}
+            for i in range(len(c.h)):
+                w = c.text[c.first[i] : c.end[i]]
+                least[w] = min(least.get(w, c.doc[i]), c.doc[i])
+            assert matched.tolist() == [bool(least[c.text[a:b]] < d) for a, b, d in zip(c.first, c.end, c.doc, strict=True)] and found["len"].sum() == matched.sum()
+            continue
+        got = op8_substrings.deduplicated(df, full=True).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == plain_substrings(rows)
+        text = {d: (t or "").split() for d, t, *_ in rows}
+        for r in got:
+            for f in r["factors"]:
+                assert f["n_words"] >= 13 and text[r["doc_id"]][f["start"] : f["start"] + f["n_words"]] == text[f["ref_doc_id"]][f["ref_start"] : f["ref_start"] + f["n_words"]]
+
+
+op8_windows = op8_substrings.windows
+
+
+def test_pieces_have_each_window_once():
+    rng = random.Random(22)
+    for _ in range(200):
+        w = ["x" * rng.choice([1, 2, 9, 60]) + str(i) for i in range(rng.randint(0, 90))]
+        got = [(first + i, tuple(p[i : i + 13])) for piece, first in op8_substrings.pieces(" ".join(w).encode(), rng.choice([20, 100, 400])) for p in [piece.decode().split()] for i in range(len(p) - 12)]
+        assert got == [(i, tuple(w[i : i + 13])) for i in range(len(w) - 12)]
+
+
+def test_parse_takes_the_factor_that_reaches_furthest():
+    found = np.array([(9, 0, 0, 5, 1, 10), (9, 0, 0, 3, 2, 0), (9, 0, 3, 6, 2, 3), (9, 0, 9, 1, 3, 0), (9, 0, 20, 2, 1, 0)], op8_substrings.FACTOR)
+    assert op8_substrings.parse(found) == [(0, 21, 2, 0), (9, 13, 3, 0), (20, 14, 1, 0)]
 
 
 # ---- op9
