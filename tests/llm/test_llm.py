@@ -446,14 +446,38 @@ def test_parse_takes_the_factor_that_reaches_furthest():
 # ---- op9
 
 
+def test_weights_are_the_same_in_any_batch():
+    rng = random.Random(31)
+    texts = [prose(rng.randint(0, 300), rng.choice(["en", "de"]), rng).encode() for _ in range(120)] + [b"", b"x", b"ab"]
+    ratio = op9_resampling.log_ratio(*(np.random.default_rng(k).integers(0, 900, op9_resampling.BUCKETS).astype(float) for k in (1, 2)))
+    alone = [int(op9_resampling._weights([t], ratio)[0]) for t in texts]
+    assert op9_resampling._weights(texts, ratio).tolist() == alone and alone[-3] == 0
+    for t, w in zip(texts[:20], alone, strict=False):  # against a plain sum over n-grams
+        total = n = 0
+        for k in op9_resampling.SIZES:
+            for i in range(len(t) - k + 1):
+                total, n = total + int(ratio[op9_resampling.grams([t[i : i + k]])[0][k - 1, 0]]), n + 1
+        assert w == (total if n <= op9_resampling.EVIDENCE else total * op9_resampling.EVIDENCE // n)
+
+
 def test_resampling(spark, docs, labels):
+    labels = labels.where("doc_id != 63 and doc_id != 62")  # so that some are unlabelled
     got = op9_resampling.importance(docs, labels).collect()
-    kept = {r["doc_id"] for r in got if r["kept"]}
-    assert set(range(60)) <= kept and not kept & {64, 65}
-    scores = sorted((r["perturbed"] for r in got), reverse=True)
-    assert {r["perturbed"] for r in got if r["kept"]} == set(scores[: sum(r["kept"] for r in got)])
-    stay = op9_resampling.resampled(docs, labels)
-    assert stay.schema == docs.schema and Counter(r["doc_id"] for r in stay.collect()) == Counter(r["doc_id"] for r in got if r["kept"])
+    kept = Counter(r["doc_id"] for r in got if r["kept"])
+    assert set(range(60)) <= set(kept) and not set(kept) & {64, 65}
+    quality = {r["doc_id"]: r["quality"] for r in labels.where("quality is not null and doc_id is not null").orderBy("quality").collect()}
+    weight = {v: np.array([r["log_weight"] for r in got for x in labels.where("quality is not null").collect() if x["doc_id"] == r["doc_id"] and r["doc_id"] is not None and x["quality"] == v]) for v in (0, 1)}
+    assert quality and len(weight[0])
+    k = sum(r["log_weight"] >= op9_resampling.best_cut(weight[1], weight[0]) for r in got)
+    least = sorted((r["perturbed"] for r in got), reverse=True)[k - 1]
+    assert Counter(r["doc_id"] for r in got if r["perturbed"] >= least) == kept
+    for r in got:  # each its own noise, a Gumbel variable
+        assert -3.1 < r["perturbed"] - r["log_weight"] < 37
+    for rows in (docs, docs.repartition(7), docs.select("*", F.lit(1).alias("TEXT"), F.lit(2).alias("noise"))):
+        stay = op9_resampling.resampled(rows, labels)
+        assert stay.schema == rows.schema and Counter(r["doc_id"] for r in stay.collect()) == kept
+    twice = op9_resampling.resampled(docs.unionByName(docs), labels)
+    assert all(n % 2 == 0 for n in Counter(r["doc_id"] for r in twice.collect()).values())
 
 
 def test_kth_largest(spark):

@@ -136,9 +136,17 @@ def small_batches(df: DataFrame) -> None:
         df.sparkSession.conf.set(name, BATCH_ROWS)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named by place, and each name's place: names that are equal but for case, or equal, never clash. Of equal ones the first counts."""
+    at: dict[str, str] = {}
+    for i, name in enumerate(docs.columns):
+        at.setdefault(name, f"c{i}")
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), at
+
+
 def only(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns; one that is absent is null. Other columns never reach an operator."""
     small_batches(docs)
     kinds = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint", "item_id": "bigint", "quality": "int", "toxic": "int"}
-    have = set(docs.columns)
-    return docs.select(*((F.col(f"`{n}`") if n in have else F.lit(None)).cast(kinds.get(n, "string")).alias(n) for n in names))
+    plain, at = numbered(docs)
+    return plain.select(*((F.col(at[n]) if n in at else F.lit(None)).cast(kinds.get(n, "string")).alias(n) for n in names))
