@@ -22,7 +22,7 @@ def _small(e: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes that have edges (a, b); component is its least node.
+    """(node, component) of the nodes that have edges (a, b), of any type with an order; component is its least node.
 
     Each round is written to the shared folder; only a count and a checksum reach the driver.
     A node's edges are reduced by partial minima, never gathered.

@@ -1,27 +1,31 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection.
 
 A document's set holds its distinct 5-word shingles (lower-cased A-Z; with fewer words, the whole
-sequence as one). Documents link when 100 * intersection >= 80 * union.
+sequence as one). Documents link when 100 * intersection >= 80 * union. Shingles are told apart by
+64-bit hashes.
 
-1. Equal sets have equal 64-bit signatures and form a class, the node of all that follows.
+1. Equal sets have equal 64-bit signatures and form a class, the node of all that follows. A second
+   hash of the set has to agree throughout a class; else signatures are taken anew with another seed.
 2. Any order of shingles gives a prefix filter: of two sets that link, the first
    n - ceil(0.8 n) + 1 shingles of each share one. The order puts shingles in many documents last;
    they come from counts of all documents in a table of fixed size, each task's cells above
    chance being summed. Prefixes go to partitions by shingle, packed into arrays.
    A shingle's place in the order bounds what two sets can still share from there on.
 3. The classes that share a prefix shingle form tiles by size band (sizes in a ratio of 1.25, so
-   links cross one band border at most). A shingle in more than TILE documents is split into a
-   grid of tiles, so no tile grows with the data.
+   links cross one band border at most). Shingles known to be in many documents are dealt to a grid of tiles from the start;
+   any shingle that is found in more than TILE classes is split into a grid by that number, so no tile grows with the data.
 4. In each tile the PIVOTS classes with the earliest places are paired with all others. These few
    pairs are verified and give first components.
 5. Tiles whose classes are not all in one component then give every pair between different
    components. So no pair that could still join two components is left out, and no group is
-   expanded into all its pairs.
+   expanded into all its pairs: links between classes that other links have joined already are not counted.
 6. Verifying: with bitmaps of about BITS bits a shingle, the bits that differ bound the intersection from
    above; pairs that could still link are decided by intersecting the sorted arrays.
+7. A component is named after the class with its least doc_id, so no join has a component as its key.
 
 No shingles, no links: null, empty or wordless text is its own component. Null doc_id never is a
 component_id unless nothing else is in the component. Repeated rows give repeated rows, in one component.
+Ties cannot arise: a component_id is a least value. Only doc_id and text are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, binary, mix, only, partitions, split_words, windows, written
+from .common import U, binary, mix, numbered, only, partitions, split_words, windows, written
 from .graph import components
 
 N = 5
@@ -45,7 +49,9 @@ LEAST_HOT = 16
 PIVOTS = 12
 FLUSH = 400_000  # prefix shingles that a task packs at a time
 TILE = 20_000
-BLOOM = 1 << 23  # bits
+BLOOM = 1 << 26  # bits at most; beyond a few million wanted sets more of the others are shuffled, too
+MOST_HOT = 1 << 20  # cells of frequent shingles that are put last
+FLUSH_PAIRS = 200_000
 _BAND = np.log(1.25)
 _KEYS = pa.list_(pa.int64())
 
@@ -62,10 +68,10 @@ def shingle_sets(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
                 yield a + i, windows(h[x:y], y - x) if y > x else five[:0]
 
 
-def signature(s: np.ndarray) -> int:
+def signature(s: np.ndarray, seed: int = 0) -> int:
     """Of a set as a signed 64-bit integer."""
     with np.errstate(over="ignore"):
-        x = mix(np.array([np.add.reduce(mix(s ^ U(0xA0761D6478BD642F))) ^ (U(len(s)) * U(0xE7037ED1A0B428DB))], U))
+        x = mix(np.array([np.add.reduce(mix(s ^ U(0xA0761D6478BD642F) + U(seed))) ^ (U(len(s)) * U(0xE7037ED1A0B428DB))], U))
     return int(x.view(np.int64)[0])
 
 
@@ -99,9 +105,9 @@ def can_link(n: np.ndarray, v: np.ndarray, m: np.ndarray, w: np.ndarray) -> np.n
     return 9 * np.minimum(n - v, m - w) >= 4 * (n + m)
 
 
-def _describe(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, row, n, sig, bitmap) for each document, the bitmap once for each class and task; and rows of counts (cell as doc_id, n; sig null)."""
-    names = ["doc_id", "row", "n", "sig", "bitmap"]
+def _describe(docs: DataFrame, seed: int) -> DataFrame:
+    """A row (doc_id, row, n, sig, proof, bitmap) for each document, the bitmap once for each class and task; and rows of counts (cell as doc_id, n; sig null)."""
+    names = ["doc_id", "row", "n", "sig", "proof", "bitmap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, total, counted, seen = np.zeros(TABLE, np.uint16), 0, 0, set()
@@ -109,14 +115,15 @@ def _describe(docs: DataFrame) -> DataFrame:
         def hand_on() -> pa.RecordBatch:
             at = np.flatnonzero(cells >= max(4, 4 * total / TABLE + 3))
             nulls = pa.nulls(len(at), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(at), nulls, pa.array(cells[at].astype(np.int32)), nulls, pa.nulls(len(at), pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(at), nulls, pa.array(cells[at].astype(np.int32)), nulls, nulls, pa.nulls(len(at), pa.binary())], names=names)
 
         for batch in batches:
-            n, sig, bits = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            n, bits = np.zeros(batch.num_rows, np.int32), [None] * batch.num_rows
+            sig, proof = np.zeros((2, batch.num_rows), np.int64)
             for i, s in shingle_sets(binary(batch.column("text"))):
                 n[i] = len(s)
                 if len(s):
-                    sig[i] = signature(s)
+                    sig[i], proof[i] = signature(s, seed), signature(s, -1 - seed & 0xFFFFFFFF)
                     at = (s & U(TABLE - 1)).astype(np.int64)
                     cells[at] += 1  # two shingles of a text in one cell count once
                     total, counted = total + len(s), counted + 1
@@ -128,16 +135,23 @@ def _describe(docs: DataFrame) -> DataFrame:
                         bits[i] = bitmap(s)
                         if len(seen) > 200_000:
                             seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n), pa.array(sig), pa.array(bits, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n), pa.array(sig), pa.array(proof), pa.array(bits, pa.binary())], names=names)
         yield hand_on()
 
-    return only(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id bigint, row bigint, n int, sig bigint, bitmap binary")
+    return only(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id bigint, row bigint, n int, sig bigint, proof bigint, bitmap binary")
 
 
 def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Cells in more than SHARE of the documents, with their counts: at most the mean set size / SHARE, and TABLE."""
-    most = max(LEAST_HOT, SHARE * described.where("sig is not null").count())
-    rows = described.where("sig is null").groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= most).toPandas()
+    """Cells in more than SHARE of the documents, with their counts; of too many, those above a higher power of two: MOST_HOT at most."""
+    least = max(LEAST_HOT, SHARE * described.where("sig is not null").count())
+    counts = described.where("sig is null").groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    by_size, kept = {r["k"]: r["c"] for r in counts.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("c")).collect()}, 0  # 64 rows at most
+    for k in sorted(by_size, reverse=True):
+        kept += by_size[k]
+        if kept > MOST_HOT:
+            counts = counts.where(F.col("n") >= 1 << k + 1)
+            break
+    rows = counts.toPandas()
     return rows["doc_id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
@@ -149,7 +163,7 @@ def prefix(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, r))[:length]]
 
 
-def _prefix_blocks(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
+def _prefix_blocks(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int, seed: int) -> DataFrame:
     """Packed prefix shingles by partition: shingle (or tile of one), signature, size, place in the prefix, side of the tile."""
     shared = docs.sparkSession.sparkContext.broadcast((hot[0].astype(np.int32), np.log2(np.maximum(hot[1], 2)).astype(np.uint8)))
     names = ["part", "tokens", "sigs", "ns", "places", "sides"]
@@ -172,7 +186,7 @@ def _prefix_blocks(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: i
 
         for batch in batches:
             for _, s in shingle_sets(binary(batch.column("text"))):
-                if not len(s) or (sig := signature(s)) in seen:
+                if not len(s) or (sig := signature(s, seed)) in seen:
                     continue
                 seen.add(sig)
                 if len(seen) > 200_000:
@@ -246,34 +260,53 @@ def _tiles(blocks: DataFrame) -> DataFrame:
 def _cross(entries: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs of classes in different components within a tile that are near enough in size."""
     known = entries.join(comps, entries["y"] == comps["node"], "left").select("x", "y", "n", "place", "side", F.coalesce("component", "y").alias("c"))
-    mixed = known.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("x")
-    rows = F.sort_array(F.collect_list(F.struct("y", "n", "c", "side", "place")))  # TILE rows at most, twice
-    tiles = known.join(mixed, "x").groupBy("x").agg(rows.alias("rows"))
-    tiles = tiles.select(F.transform("rows", lambda r: F.struct(r["y"].alias("y"), r["n"].alias("n"), r["c"].alias("c"), r["side"].alias("side"))).alias("members"), F.transform("rows", lambda r: r["place"]).alias("places"))
+    mixed = known.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("x", F.ceil(F.col("size") / TILE).alias("grid"))
+    # more than TILE classes: a grid of tiles; within one, side 1 pairs with side 2 only
+    dealt = known.join(mixed, "x").withColumn("own", F.pmod(F.xxhash64("y"), F.col("grid"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("grid") - 1)))
+    half = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select("x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), half.alias("half"), "y", "n", "place", "side", "c")
+    tiles = dealt.groupBy("x", "i", "j").agg(F.sort_array(F.collect_list(F.struct("y", "n", "c", "side", "half", "place"))).alias("rows"))  # about twice TILE rows at most
+    tiles = tiles.select(F.transform("rows", lambda r: F.struct(*(r[k].alias(k) for k in ("y", "n", "c", "side", "half")))).alias("members"), F.transform("rows", lambda r: r["place"]).alias("places"))
     # shingles of one passage mostly are in the same classes: one tile for all of them, with each class's earliest place
-    tiles = tiles.groupBy(F.xxhash64("members").alias("h"), F.xxhash64(F.lit(1), "members").alias("k")).agg(F.first("members").alias("members"), F.collect_list("places").alias("places"))
+    tiles = tiles.groupBy(F.xxhash64("members").alias("h"), F.xxhash64(F.lit(1), "members").alias("k")).agg(F.first("members").alias("members"), F.array_agg(F.struct("places")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+
+        def pairs() -> pa.RecordBatch:
+            both = np.unique(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
         for batch in batches:
-            out = [np.empty((0, 2), np.int64)]
-            for members, places in zip(batch.column("members").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                n, g, c, d = (np.array([r[k] for r in members]) for k in ("n", "y", "c", "side"))
-                w = np.min(np.array(places), axis=0)
-                order = np.lexsort((g, n))
-                n, g, c, d, w = n[order], g[order], c[order], d[order], w[order]
+            members, places = batch.column("members"), batch.column("places")
+            for r in range(batch.num_rows):
+                own = members[r].values.flatten()
+                y, n, c, side, half = (x.to_numpy() for x in own)
+                w = np.min(np.stack([x["places"].values.to_numpy() for x in places[r]]), axis=0)
+                order = np.lexsort((y, n))
+                y, n, c, side, half, w = (x[order] for x in (y, n, c, side, half, w))
                 last = np.searchsorted(n, np.floor(n * 1.25), side="right")
                 for i in range(len(n) - 1):
                     j = np.arange(i + 1, last[i])
-                    j = j[(c[j] != c[i]) & ((d[j] + d[i] == 3) | (d[j] + d[i] == 0)) & can_link(n[i], w[i], n[j], w[j])]
+                    j = j[(c[j] != c[i]) & _across(side[i], side[j]) & _across(half[i], half[j]) & can_link(n[i], w[i], n[j], w[j])]
                     if len(j):
-                        out.append(np.stack([np.minimum(g[i], g[j]), np.maximum(g[i], g[j])], axis=1))
-            pairs = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                        out.append(np.stack([np.minimum(y[i], y[j]), np.maximum(y[i], y[j])], axis=1))
+                        size += len(j)
+                        if size >= FLUSH_PAIRS:
+                            yield pairs()
+                            out.clear()
+                            size = 0
+        yield pairs()
 
     return tiles.select("members", "places").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
+def _across(a: int, b: np.ndarray) -> np.ndarray:
+    """Whether classes of these sides of a grid's tile are to be paired: 0 with 0, 1 with 2."""
+    return (a + b == 3) | ((a == 0) & (b == 0))
+
+
+def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
     """Those pairs (a, b) that link."""
     maps = described.where("bitmap is not null").groupBy("sig").agg(F.first("bitmap").alias("bitmap"), F.first("n").alias("n"))
     a, b = (maps.select(F.col("sig").alias(s), F.col("bitmap").alias(f"m{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
@@ -285,7 +318,7 @@ def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFr
 
     possible = written(pairs.join(b, "b").join(a, "a").where("5 * least(na, nb) >= 4 * greatest(na, nb)").mapInArrow(bound, "a bigint, b bigint"))
     sigs = possible.select(F.col("a").alias("sig")).unionByName(possible.select(F.col("b").alias("sig"))).distinct()
-    wanted = _wanted_arrays(docs, sigs)
+    wanted = _wanted_arrays(docs, sigs, seed)
     a, b = (wanted.select(F.col("sig").alias(s), F.col("shingles").alias(f"s{s}")) for s in "ab")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,17 +334,17 @@ def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFr
     return written(possible.join(b, "b").join(a, "a").mapInArrow(exact, "a bigint, b bigint"))
 
 
-def _wanted_arrays(docs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(sig, sorted shingles) of the wanted classes; a Bloom filter of fixed size keeps most other sets out of the shuffle."""
+def _wanted_arrays(docs: DataFrame, sigs: DataFrame, seed: int) -> DataFrame:
+    """(sig, sorted shingles) of the wanted classes; a Bloom filter keeps most other sets out of the shuffle."""
+    size = min(BLOOM, 1 << max(16, 16 * sigs.count() - 1).bit_length())
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b for x in batch.column("sig").to_pylist() for b in slots(x)], pa.int64())], names=["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array([b for x in batch.column("sig").to_pylist() for b in slots(x, size)], pa.int64())], names=["bit"])
 
-    words = sigs.mapInArrow(bits, "bit bigint").groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).collect()  # BLOOM / 64 rows at most
-    table = np.zeros(BLOOM // 64, np.int64)
-    for r in words:
-        table[r["word"]] = r["bits"]
+    words = sigs.mapInArrow(bits, "bit bigint").groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toPandas()  # BLOOM / 64 rows at most
+    table = np.zeros(max(1, size // 64), np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,40 +352,58 @@ def _wanted_arrays(docs: DataFrame, sigs: DataFrame) -> DataFrame:
         for batch in batches:
             sig, sets = [], []
             for _, s in shingle_sets(binary(batch.column("text"))):
-                if len(s) and (x := signature(s)) not in seen and all(int(words[b >> 6]) >> (b & 63) & 1 for b in slots(x)):
+                if len(s) and (x := signature(s, seed)) not in seen and all(int(words[b >> 6]) >> (b & 63) & 1 for b in slots(x, size)):
                     seen.add(x)
                     sig.append(x)
                     sets.append(s.tobytes())
+                    if len(seen) > 200_000:
+                        seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(sets, pa.binary())], names=["sig", "shingles"])
 
     found = only(docs, "text").mapInArrow(run, "sig bigint, shingles binary")
     return written(found.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.first("shingles").alias("shingles")))
 
 
-def slots(sig: int) -> list[int]:
-    """The Bloom filter's bits of a class."""
+def slots(sig: int, size: int) -> list[int]:
+    """The bits of a class in a Bloom filter of size bits, a power of two."""
     x = mix(np.array([sig], np.int64).view(U) ^ U(0x8EBC6AF09C88C6E3))
-    return [int(x[0]) & BLOOM - 1, int(x[0]) >> 32 & BLOOM - 1]
+    return [int(x[0]) & size - 1, int(x[0]) >> 32 & size - 1]
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Described documents, the classes (sig, none, least) with their least doc_id, and the seed whose signatures hold."""
+    seed = 0
+    while True:
+        described = written(_describe(docs, seed))
+        classes = described.where("n > 0 and sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), (F.min("proof") != F.max("proof")).alias("clash"))
+        classes = written(classes)
+        if not classes.where("clash").limit(1).count():
+            return described, classes.select("sig", F.col("least").isNull().alias("none"), "least"), seed
+        seed += 1
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, row, n, sig, component, component_id) of each document; the last two are null without shingles."""
     docs = only(docs, "doc_id", "text")
-    described = written(_describe(docs))
+    described, classes, seed = _classes(docs)
     rows = described.where("sig is not null").select("doc_id", "row", "n", "sig")
-    tiles = written(_tiles(_prefix_blocks(docs, _frequent(described), partitions(docs.sparkSession))))
-    first = _verified(docs, described, tiles.where("n is null").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    comps = written(components(first))
-    second = _verified(docs, described, _cross(tiles.where("n is not null"), comps))
-    comps = components(first.unionByName(second))
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(comps, classes["sig"] == comps["node"], "left").select("sig", "least", F.coalesce("component", "sig").alias("component"))
-    groups = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = classes.join(groups, "component").select(F.col("sig").alias("s"), "component", "component_id")
+    tiles = written(_tiles(_prefix_blocks(docs, _frequent(described), partitions(docs.sparkSession), seed)))
+    first = _verified(docs, described, tiles.where("n is null").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), seed)
+    comps = written(_components(first, classes))
+    second = _verified(docs, described, _cross(tiles.where("n is not null"), comps.select("node", "component")), seed)
+    comps = _components(first.unionByName(second), classes)
+    of = classes.join(comps, classes["sig"] == comps["node"], "left").select(F.col("sig").alias("s"), F.coalesce("component", "sig").alias("component"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     linked = rows.where("n > 0").join(of, F.col("sig") == F.col("s"), "left").drop("s")
     return linked.unionByName(rows.where("n = 0"), allowMissingColumns=True)
 
 
+def _components(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component, component_id) of linked classes; the component is the class with the least doc_id (null last, then by signature)."""
+    named = lambda k: classes.select(F.col("sig").alias(k), F.struct("none", "least", "sig").alias(f"{k} node"))
+    edges = links.join(named("a"), "a").join(named("b"), "b").select(F.col("a node").alias("a"), F.col("b node").alias("b"))
+    return components(edges).select("node.sig", "component").select(F.col("sig").alias("node"), F.col("component.sig").alias("component"), F.col("component.least").alias("component_id"))
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id)."""
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -360,13 +411,17 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, all columns: the least doc_id's (null last), of its texts the one with the least hash. Wordless documents stay."""
-    rows = written(_grouped(docs))
-    linked = rows.where("n > 0")
-    best = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b"))
-    keep = best.select("b.doc_id", "b.row").unionByName(rows.where("n = 0").select("doc_id", "row")).distinct()
-    keyed = docs.withColumn("row of a text", F.xxhash64(F.col("text").cast("string")))
-    found = keyed.join(keep.select(F.col("doc_id").alias("kept id"), F.col("row").alias("kept row")), F.col("doc_id").eqNullSafe(F.col("kept id")) & (F.col("row of a text") == F.col("kept row")), "left_semi")
-    if linked.groupBy("doc_id", "row").count().where("count > 1").limit(1).count():  # repeated rows
-        found = found.dropDuplicates(["doc_id", "row of a text"])
-    return found.drop("row of a text")
+    """One document of each component, all columns: the least doc_id's (null last), of its texts the one with the least hash.
+
+    Rows without words stay as they are, repeated ones too; of a repeated representative one row stays.
+    """
+    rows = written(_grouped(docs).where("n > 0"))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b")).select("b.doc_id", "b.row").distinct()
+    plain, at = numbered(docs)
+    doc_id, text = (F.col(at["doc_id"]) if "doc_id" in at else F.lit(None)).cast("bigint"), F.col(at["text"]).cast("string")
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = plain.where(worded).withColumn("id", doc_id).withColumn("row", F.xxhash64(text))
+    found = keyed.join(best, F.col("id").eqNullSafe(best["doc_id"]) & (keyed["row"] == best["row"]), "left_semi")
+    if rows.groupBy("doc_id", "row").count().where("count > 1").limit(1).count():  # repeated rows
+        found = found.dropDuplicates(["id", "row"])
+    return found.drop("id", "row").unionByName(plain.where(~worded)).toDF(*docs.columns)
