@@ -313,7 +313,26 @@ def test_marks_of_a_small_language():
     text = lambda lang, *more: (" ".join(rng.sample(w := prose(60, lang, rng).split() + list(more), len(w))), lang)
     toxic = [text("en", *(["grumblefool"] * 2)) for _ in range(1480)] + [text("de", "ekelwicht") for _ in range(20)]
     got = op5_toxicity.marks(toxic, [text("en") for _ in range(300)] + [text("de") for _ in range(100)])
-    assert b" grumblefool" in got and b" ekelwicht" in got  # 20 contexts are fewer than 1.5 % of all toxic texts
+    assert b" grumblefool " in got and b" ekelwicht " in got  # 20 contexts are fewer than 1.5 % of all toxic texts
+    again = op5_toxicity.marks(toxic + toxic[:1] * 50 + [("einmal " * 50, "de")] * 20, [text("de") for _ in range(100)])
+    assert b" einmal " not in again  # copies and repetitions count once
+
+
+def test_distance_is_the_difference_of_compressed_lengths():
+    import zstandard as z
+
+    rng = random.Random(15)
+    ordinary = " ".join(prose(40, "en", rng) for _ in range(20)).encode()
+    toxic = b" grumblefool  nastywart " + ordinary
+    distance = op5_toxicity.Distance(ordinary, toxic)
+    size = lambda raw, x, level: len(z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(x))
+    for text in (prose(60, "en", rng), f"{prose(30, 'en', rng)} Grumblefool {prose(30, 'en', rng)}", "nastywart", "x", f"{'ö' * 300} nastywart grumblefool"):
+        b = b" " + b" ".join(text.lower().encode().split()) + b" "
+        parts = [x if len(x) >= 64 else x + ordinary[-64:] for x in (b[i : i + 128] for i in range(0, max(1, len(b) - 64), 64))]
+        first = [size(ordinary, x, 6) - size(toxic, x, 6) for x in parts]
+        best = max([0, *(size(ordinary, x, 19) - size(toxic, x, 19) for x, f in zip(parts, first, strict=True) if f > 0)])
+        assert distance(text) == (best, sum(first) / len(parts))
+        assert (best > 2) == ("grumblefool" in text.lower() or "nastywart" in text)
 
 
 # ---- op6
