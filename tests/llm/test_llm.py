@@ -378,6 +378,41 @@ def test_secrets_joined_to_other_text(spark):
     assert got[9] == got[10] == ""
 
 
+def test_random_spans_against_a_plain_version(spark):
+    rng = random.Random(17)
+    texts = [prose(200, "en", rng) + " someOrdinaryIdentifierName and_a_longer_snake_case_name 2024-01-02-some-release-notes" for _ in range(120)]
+    planted, codes = {}, op6_secrets.ENCODINGS
+    for i, (name, n) in enumerate((k, n) for k in ("hex", "HEX", "base36", "base64", "base64url", "base32") for n in (20, 24, 32, 48, 100) for _ in range(4)):
+        token = "".join(rng.choices(codes[name].replace("=", ""), k=n))
+        if name == "hex" and n >= 24:
+            token = token.upper()  # else a base span
+        planted[i] = (name, n, token)
+        texts[i] += f" {token} {prose(5, 'en', rng)}"
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (500, None), (501, "")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in op6_secrets.find_secrets(df).collect()}
+    # the same by sorting the p-values of distinct tokens
+    pairs = np.zeros((256, 256), np.int64)
+    for t in texts + [texts[0]]:
+        b = re.sub("[A-Za-z0-9+/_=-]{20,}", "\n", t).encode()
+        for x, y in zip(b, b[1:], strict=False):
+            pairs[x, y] += 1
+    usual = op6_secrets.Ordinary(pairs)
+    scans = {i: op6_secrets.scan(t) for i, t in enumerate(texts)}
+    p_of = {texts[i][f[0] : f[1]]: (f[3], usual.p_value(*f[2:8])) for i, (_, found) in scans.items() for f in found}
+    passed = set()
+    for low, high in zip(op6_secrets.BANDS, (*op6_secrets.BANDS[1:], 10**9), strict=True):
+        own = sorted((-op6_secrets.step(p), t) for t, (n, p) in p_of.items() if low <= n < high)
+        k = max([i + 1 for i, (s, _) in enumerate(own) if 10 ** (s / 100) * len(own) <= op6_secrets.FDR * sum(x <= s for x, _ in own)], default=0)
+        passed |= {t for s, t in own if k and s <= own[k - 1][0]}
+    for i, t in enumerate(texts):
+        random_spans = {t[int(x.split(":")[1]) : int(x.split(":")[2])] for x in got[i].split(",") if x.startswith("random")}
+        assert random_spans == {t[f[0] : f[1]] for f in scans[i][1]} & passed
+    assert got[500] == got[501] == ""
+    found = {k: np.mean([p in passed for name, n, p in planted.values() if (name, n) == k]) for k in {(name, n) for name, n, _ in planted.values()}}
+    assert np.mean([x for (_, n), x in found.items() if n >= 24]) >= 0.95 and np.mean([x for (_, n), x in found.items() if n == 20]) >= 0.8, found
+    assert not any(x in p for p in passed for x in ("Identifier", "snake", "release"))
+
+
 # ---- op7
 
 

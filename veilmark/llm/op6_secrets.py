@@ -6,19 +6,25 @@ span overlaps are candidates. A candidate's encoding is the smallest alphabet th
 none does, since it mixes '+/' with '-_', its parts between '/', and of those that still mix them
 the parts between '-', '_' and '+', are candidates if they have 20 characters; the whole is one too,
 in an alphabet of all token characters, and is not reported where a part of it is. So every part of
-20 or more between '=' is tested. Three tests are made on a candidate's alphabet positions:
+20 or more between '=' is tested. Three tests are made on a candidate in its encoding:
 
-* chi-squared against the uniform alphabet. Ordinary text of the same length would give a value
-  far above it, with mean and spread known from the corpus's own character frequencies; the
-  left tail of that distribution is the candidate's p-value, so length is accounted for;
-* runs above and below the alphabet's middle, and serial correlation at lag one. A candidate
-  that these reject as random (two-sided level GATE) gets p-value 1.
+* chi-squared of its characters against the uniform alphabet;
+* runs: the changes between neighbours of upper case, lower case, digits and other characters; in an
+  alphabet of one such class, between the halves of the alphabet;
+* serial correlation of alphabet positions at lag one.
 
-Benjamini-Hochberg at level FDR within each length band decides over the candidates of the whole
-corpus: a histogram of -log10(p) in steps of 0.01, rounded down, gives each band's threshold.
+A candidate that one of them rejects as random (level GATE) gets p-value 1. Else each test's p-value is
+the chance that ordinary text of the same length and alphabet comes as close to a random string,
+under the frequencies of characters and of pairs of neighbours in the corpus itself (all documents, outside
+long tokens; pairs in upper case also count RAISED of the same in lower case);
+so length is accounted for. Fisher's method combines the three.
+
+Benjamini-Hochberg at level FDR within each length band decides over the distinct candidates of the whole
+corpus: a histogram of -log10(p) in steps of 0.01, rounded down, gives each band's threshold; equal p-values are decided alike.
 
 Null text counts as empty and has no spans. Offsets are code points, end exclusive. Repeated rows
-give repeated rows; a null doc_id stays null.
+give repeated rows and count once as tests; a null doc_id stays null. Only doc_id and text are read, so other
+columns never clash.
 """
 
 from __future__ import annotations
@@ -33,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import blocks, only, written
 
 KINDS = ("assign", "access", "hex", "random")
 FDR = 0.01
-GATE = 0.001
+GATE = 0.0001
+RAISED = 0.01
 BANDS = (20, 32, 48, 96)
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
 
@@ -62,7 +69,23 @@ ENCODINGS = {
 _FIELD = re.compile(r"[^=]+(?:=+\Z)?")
 _CUTS = (re.compile(r"[^/]+"), re.compile(r"[A-Za-z0-9=]+"))
 _SETS = {k: frozenset(v) for k, v in ENCODINGS.items()}
-_RAW = "doc_id bigint, base array<struct<kind:int,start:int,end:int>>, found array<struct<start:int,end:int,encoding:string,n:int,chi2:double,gate:boolean>>, counts array<bigint>"
+_FOUND = "start:int,end:int,encoding:string,n:int,chi2:double,changes:int,serial:double,gate:boolean,token:bigint"
+_RAW = f"doc_id bigint, base array<struct<kind:int,start:int,end:int>>, found array<struct<{_FOUND}>>, cells array<int>, counts array<bigint>"
+
+
+def _class(c: str) -> int:
+    return 0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3
+
+
+def _groups(alphabet: str) -> np.ndarray:
+    """Of each character: the class that the runs test looks at."""
+    kinds = np.array([_class(c) for c in alphabet])
+    return kinds if len(set(kinds)) > 1 else (np.arange(len(alphabet)) >= len(alphabet) / 2).astype(int)
+
+
+_GROUPS = {k: _groups(v) for k, v in ENCODINGS.items()}
+#: chance that neighbours in a random string are of different groups
+_CHANGE = {k: 1 - float(np.sum((np.bincount(g) / len(g)) ** 2)) for k, g in _GROUPS.items()}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -77,8 +100,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
-def battery(token: str) -> tuple[str, int, float, bool] | None:
-    """Encoding, length, chi-squared statistic, and whether runs and serial correlation look random."""
+def battery(token: str) -> tuple[str, int, float, int, float, bool, int] | None:
+    """Encoding, length, chi-squared, changes of group, serial correlation, whether all three look random, and a hash of the token."""
     body = token.rstrip("=")
     have = set(body)
     encoding = next((k for k, v in _SETS.items() if have <= v), None)
@@ -87,21 +110,21 @@ def battery(token: str) -> tuple[str, int, float, bool] | None:
     alphabet, n = ENCODINGS[encoding], len(body)
     size = len(alphabet)
     where = {c: i for i, c in enumerate(alphabet)}
-    x = np.array([where[c] for c in body], float)
-    seen = np.bincount(x.astype(int), minlength=size).astype(float)
+    at = np.array([where[c] for c in body])
+    seen = np.bincount(at, minlength=size).astype(float)
     chi2 = size / n * float(np.sum(seen**2)) - n
-    high = x >= size / 2
-    n1 = int(high.sum())
-    n0 = n - n1
-    z_runs = 99.0
-    if n0 and n1:
-        mean = 2 * n0 * n1 / n + 1
-        spread = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
-        z_runs = (1 + int(np.count_nonzero(high[1:] != high[:-1])) - mean) / spread
-    d = x - x.mean()
-    z_serial = float(np.dot(d[1:], d[:-1]) / max(1e-9, np.dot(d, d))) * math.sqrt(n)
-    gate = all(math.erfc(abs(z) / math.sqrt(2)) >= GATE for z in (z_runs, z_serial))
-    return encoding, n, chi2, gate
+    group = _GROUPS[encoding][at]
+    changes = int(np.count_nonzero(group[1:] != group[:-1]))
+    d = at - at.mean()
+    serial = float(np.dot(d[1:], d[:-1]) / max(1e-9, np.dot(d, d)))
+    c0, df = _CHANGE[encoding], size - 1
+    z = (
+        ((chi2 / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df)),  # Wilson and Hilferty; too many of few characters
+        abs(changes - (n - 1) * c0) / math.sqrt((n - 1) * c0 * (1 - c0)),
+        abs(serial) * math.sqrt(n),
+    )
+    gate = all(math.erfc(x / math.sqrt(2)) >= GATE for x in z)
+    return encoding, n, chi2, changes, serial, gate, int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def _parts(text: str, s: int, e: int, level: int = 0) -> Iterator[tuple[int, int]]:
@@ -121,7 +144,7 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             yield from _parts(text, *m.span())
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, int, float, bool]]]:
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple]]:
     base, found = base_spans(text), []
     for s, e in candidates(text):
         if not any(a < e and s < b for _, a, b in base) and (r := battery(text[s:e])):
@@ -129,54 +152,113 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, st
     return base, found
 
 
-def p_value(encoding: str, n: int, chi2: float, gate: bool, frequency: dict[str, float]) -> float:
-    """Chance that ordinary text of this alphabet is as uniform."""
-    if not gate:
-        return 1.0
-    q = np.array([frequency.get(c, 0.0) for c in ENCODINGS[encoding]]) + 1e-9
-    q /= q.sum()
-    size = len(q)
-    excess = size * float(np.sum(q**2)) - 1
-    mean = size - 1 + (n - 1) * excess
-    spread = math.sqrt(2 * (size - 1) + 4 * n * excess)
-    return max(1e-300, 0.5 * math.erfc(-(chi2 - mean) / spread / math.sqrt(2)))
+def _normal(z: float) -> float:
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def _between(low: float, high: float, mean: float, spread: float) -> float:
+    return max(0.0, _normal((high - mean) / spread) - _normal((low - mean) / spread))
+
+
+class Ordinary:
+    """Ordinary text in each encoding, from the corpus's counts of pairs of neighbouring bytes (256 x 256) outside long tokens."""
+
+    def __init__(self, pairs: np.ndarray):
+        self.of: dict[str, tuple[np.ndarray, float, float]] = {}
+        lower = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+        raised = np.flatnonzero([chr(b).isascii() and (chr(b).isupper() or chr(b).isdigit()) for b in range(256)])
+        pairs = pairs.astype(float)
+        like = np.ix_(lower[raised], lower[raised])
+        pairs[np.ix_(raised, raised)] += RAISED * pairs[like]  # upper case is rare, and then much like lower case
+        one = pairs.sum(axis=1)
+        for k, alphabet in ENCODINGS.items():
+            at = np.frombuffer(alphabet.encode(), np.uint8)
+            q = one[at] + 1e-3
+            two = pairs[np.ix_(at, at)] + 1e-3 / len(at)
+            two = two / two.sum()
+            x, left, right = np.arange(len(at)), two.sum(axis=1), two.sum(axis=0)
+            mx, my = left @ x, right @ x
+            spread = math.sqrt(max(1e-9, float((left @ (x - mx) ** 2) * (right @ (x - my) ** 2))))
+            change = float(two[_GROUPS[k][:, None] != _GROUPS[k][None, :]].sum())
+            self.of[k] = q / q.sum(), min(0.99, max(1e-3, change)), float((x - mx) @ two @ (x - my)) / spread
+
+    def p_value(self, encoding: str, n: int, chi2: float, changes: int, serial: float, gate: bool) -> float:
+        """Chance that ordinary text comes as close to a random string in all three tests together."""
+        if not gate:
+            return 1.0
+        q, change, rho = self.of[encoding]
+        size = len(q)
+        excess = size * float(np.sum(q**2)) - 1
+        p = [_normal((chi2 - size + 1 - (n - 1) * excess) / math.sqrt(2 * (size - 1) + 4 * n * excess))]
+        usual = (n - 1) * _CHANGE[encoding]
+        far = abs(changes - usual)
+        p.append(_binomial(n - 1, change, math.ceil(usual - far - 1e-9), math.floor(usual + far + 1e-9)))
+        p.append(_between(-abs(serial), abs(serial), rho, 1 / math.sqrt(n)))
+        x = -sum(math.log(max(1e-300, y)) for y in p)  # half of Fisher's statistic, which has 6 degrees of freedom
+        return max(1e-300, math.exp(-x) * (1 + x + x * x / 2))
+
+
+def _binomial(n: int, p: float, low: int, high: int) -> float:
+    """Chance of low to high hits in n draws."""
+    low, high = max(0, low), min(n, high)
+    if n > 2000:
+        return _between(low - 0.5, high + 0.5, n * p, math.sqrt(n * p * (1 - p)))
+    log = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)
+    return min(1.0, sum(math.exp(log(k)) for k in range(low, high + 1)))
 
 
 def _raw(docs: DataFrame) -> DataFrame:
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    cand = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("n", pa.int32()), ("chi2", pa.float64()), ("gate", pa.bool_())]))
-    kinds = pa.schema([("doc_id", pa.int64()), ("base", span), ("found", cand), ("counts", pa.list_(pa.int64()))])
+    names = [x.split(":")[0] for x in _FOUND.split(",")]
+    of = {"int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "bigint": pa.int64()}
+    cand = pa.list_(pa.struct([(x.split(":")[0], of[x.split(":")[1]]) for x in _FOUND.split(",")]))
+    kinds = pa.schema([("doc_id", pa.int64()), ("base", span), ("found", cand), ("cells", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(256, np.int64)
+        counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            base, found = [], []
-            for text in batch.column("text").to_pylist():
-                counts += np.bincount(np.frombuffer((text or "").encode(), np.uint8), minlength=256)
+            base, found, texts = [], [], batch.column("text").to_pylist()
+            for text in texts:
                 b, f = scan(text or "")
                 base.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in b])
-                found.append([dict(zip(("start", "end", "encoding", "n", "chi2", "gate"), x, strict=True)) for x in f])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, span), pa.array(found, cand), pa.nulls(batch.num_rows, pa.list_(pa.int64()))], schema=kinds)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, span), pa.nulls(1, cand), pa.array([counts.tolist()], pa.list_(pa.int64()))], schema=kinds)
+                found.append([dict(zip(names, x, strict=True)) for x in f])
+            raw = [_TOKEN.sub("\n", t or "").encode() for t in texts]
+            for a, b in blocks(raw):
+                x = np.frombuffer(b"\n".join(raw[a:b]), np.uint8)
+                counts += np.bincount(x[:-1].astype(np.uint16) << 8 | x[1:], minlength=1 << 16)
+            none = [pa.nulls(batch.num_rows, pa.list_(k)) for k in (pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, span), pa.array(found, cand), *none], schema=kinds)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, span), pa.nulls(1, cand), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([counts[at].tolist()], pa.list_(pa.int64()))], schema=kinds)
 
     return only(docs, "doc_id", "text").mapInArrow(run, _RAW)
 
 
+def step(p: float) -> int:
+    return int(-100 * math.log10(p))
+
+
 def _band(n: F.Column) -> F.Column:
     return sum((F.when(n >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(0))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     raw = written(_raw(docs))
-    totals = raw.where("counts is not null").select(F.posexplode("counts").alias("byte", "n")).groupBy("byte").agg(F.sum("n").alias("n")).collect()  # 256 rows
-    frequency = {chr(r["byte"]): float(r["n"]) for r in totals}
+    cells = raw.where("counts is not null").select(F.explode(F.arrays_zip("cells", "counts")).alias("c")).groupBy("c.cells").agg(F.sum("c.counts").alias("n")).collect()  # 65,536 rows at most
+    pairs = np.zeros(1 << 16, np.int64)
+    for r in cells:
+        pairs[r["cells"]] = r["n"]
+    pairs = pairs.reshape(256, 256)
+    tested = ("encoding", "n", "chi2", "changes", "serial", "gate")
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual = Ordinary(pairs)
         for batch in batches:
-            ps = [p_value(e, n, c, g, frequency) for e, n, c, g in zip(*(batch.column(x).to_pylist() for x in ("encoding", "n", "chi2", "gate")), strict=True)]
-            yield pa.RecordBatch.from_pydict({"n": batch.column("n"), "step": pa.array([int(-100 * math.log10(p)) for p in ps], pa.int32())})
+            ps = [usual.p_value(*x) for x in zip(*(batch.column(c).to_pylist() for c in tested), strict=True)]
+            yield pa.RecordBatch.from_pydict({"n": batch.column("n"), "step": pa.array([step(p) for p in ps], pa.int32())})
 
-    tests = raw.where("size(found) > 0").select(F.explode("found").alias("f")).select("f.encoding", "f.n", "f.chi2", "f.gate").mapInArrow(rated, "n int, step int")
+    distinct = raw.where("size(found) > 0").select(F.explode("found").alias("f")).select("f.token", *(f"f.{x}" for x in tested)).distinct()
+    tests = distinct.select(*tested).mapInArrow(rated, "n int, step int")
     steps = tests.groupBy(_band(F.col("n")).alias("band"), "step").agg(F.count("*").alias("n"))
     w = Window.partitionBy("band")
     # the least step whose p-value times the number of tests is within FDR times the number that reach it
@@ -184,6 +266,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     limit = {r["band"]: r["step"] for r in limits.groupBy("band").agg(F.min("step").alias("step")).collect()}  # a row for each band
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual = Ordinary(pairs)
         for batch in batches:
             rows = []
             for doc_id, base, found in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "base", "found")), strict=True):
@@ -192,8 +275,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 least = len(spans)
                 for x in reversed(found):  # parts before the whole
                     band = sum(x["n"] >= b for b in BANDS[1:])
-                    p = p_value(x["encoding"], x["n"], x["chi2"], x["gate"], frequency)
-                    if band in limit and int(-100 * math.log10(p)) >= limit[band] and not any(x["start"] <= s and e <= x["end"] for s, _, e in spans[least:][-1:]):
+                    if band in limit and step(usual.p_value(*(x[c] for c in tested))) >= limit[band] and not any(x["start"] <= s and e <= x["end"] for s, _, e in spans[least:][-1:]):
                         spans.append((x["start"], 3, x["end"]))
                 count = [sum(k == i for _, k, _ in spans) for i in range(3)]
                 rows.append((doc_id, *count, hashlib.sha256(digest.encode()).hexdigest(), ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))))
