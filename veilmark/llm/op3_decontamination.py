@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U, binary, mix, only, small_batches, split_words, windows, written
+from .common import U, binary, mix, numbered, only, small_batches, split_words, windows, written
 
 N = 5
 LEAST = 0.8
@@ -202,16 +202,16 @@ def _find(docs: DataFrame, items: list[tuple[int | None, bytes]]) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that contain no item."""
     small_batches(docs)
-    out = None
+    plain, places = numbered(docs)
+    at, out = plain.columns.index(places["text"]), None
     for items in load_items(benchmark):
         # written between blocks: a task holds one block's index
-        out = _without(docs if out is None else written(out), items)
-    return out
+        out = _without(plain if out is None else written(out), items, at)
+    return out.toDF(*docs.columns)
 
 
-def _without(docs: DataFrame, items: list[tuple[int | None, bytes]]) -> DataFrame:
+def _without(docs: DataFrame, items: list[tuple[int | None, bytes]], at: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value)
