@@ -253,8 +253,49 @@ def test_index_finds_all_within_radius():
         p = int(rng.choice(group).print)
         for b in rng.sample(range(64), op3_decontamination.RADIUS):
             p ^= 1 << b
-        near = {i for b in range(8) for i in index.blocks[12][b][p >> 8 * b & 255]}
-        assert {i for i, x in enumerate(group) if (p ^ int(x.print)).bit_count() <= op3_decontamination.RADIUS} <= near
+        assert {i for i, x in enumerate(group) if (p ^ int(x.print)).bit_count() <= op3_decontamination.RADIUS} == set(index.near(12, p).tolist())
+
+
+def plain_leaks(rows, items):
+    """Every window of every item's size, by weighted shingles."""
+    fold = lambda t: [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
+
+    def bag(w):
+        n, out = min(5, len(w)), Counter()
+        for i in range(len(w) - n + 1):
+            out[tuple(w[i : i + n])] += sum(map(len, w[i : i + n]))
+        return out
+
+    found = Counter()
+    for doc_id, t, *_ in rows:
+        w = fold(t)
+        for item_id, text in items:
+            q = fold(text)
+            best = None
+            for s in range(len(w) - len(q) + 1 if q else 0):
+                a, b = bag(w[s : s + len(q)]), bag(q)
+                both = sum(min(a[k], b[k]) for k in a.keys() & b.keys())
+                if both >= 0.8 * (sum(a.values()) + sum(b.values()) - both) and (best is None or both / (sum(a.values()) + sum(b.values()) - both) > best[1] + 1e-12):
+                    best = s, both / (sum(a.values()) + sum(b.values()) - both)
+            if best:
+                found[doc_id, item_id, best[0], len(q), round(best[1], 9)] += 1
+    return found
+
+
+def test_leaks_against_every_window(spark):
+    rng = random.Random(33)
+    items = [(i, prose(rng.choice([3, 8, 15, 24, 30]), "en", rng)) for i in range(8)] + [(8, "x"), (None, prose(12, "de", rng)), (3, prose(20, "en", rng))]
+    rows = []
+    for i in range(60):
+        w = prose(rng.randint(0, 40), "en", rng).split()
+        q = rng.choice(items)[1].split()
+        if i % 2 and len(q) > 3:
+            for _ in range(rng.randint(0, 2)):
+                q[rng.randrange(len(q))] = rng.choice(["x", "changed", q[0]])
+        rows.append((i, " ".join(w[:20] + [x.upper() if i % 3 else x for x in q] + w[20:] + (q if i % 5 == 0 else [])), "en", "s"))
+    got = op3_decontamination.find_leaks(spark.createDataFrame([*rows, (None, items[0][1], "en", "s"), (99, None, "en", "s")], SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = plain_leaks([*rows, (None, items[0][1])], items)
+    assert len(want) > 40 and Counter((r["doc_id"], r["item_id"], r["start_word"], r["n_words"], round(r["similarity"], 9)) for r in got) == want
 
 
 # ---- op4
