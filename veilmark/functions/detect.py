@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..kinds import HIGH, LOW, MEDIUM
-from .text import FLAGS, ascii_lower, spans
+from .text import FLAGS, ascii_lower, let, spans
 
 HIT = "struct<kind:string,value:string,canonical:string,confidence:int,start:int,end:int>"
 HITS = f"array<{HIT}>"
@@ -129,7 +129,7 @@ def phone(c: Context) -> Column:
 LEXICAL = {"email": email, "imei": imei, "mac": mac, "ipv4": ipv4, "uuid": uuid, "gps": gps, "phone": phone}
 
 
-# ---- contextual: a pattern is (what precedes)(value); the hit is the value
+# ---- contextual: a pattern is (what precedes)(value); the hit is the value. The patterns below.
 
 
 def _value(c: Context, guard: Column, pattern: str, kind: Callable[[Column], Column], keep: Callable[[Column], Column] = lambda v: F.lit(True), canonical: Callable[[Column], Column] = lambda v: v, trim: bool = False) -> Column:
@@ -187,12 +187,8 @@ def scan(c: Context, lexical: tuple[str, ...] = tuple(LEXICAL), contextual: tupl
     less = lambda a, b, *rest: F.when(a < b, -1).when(a > b, 1).otherwise(rest[0] if rest else 0)
     ordered = F.array_sort(hits, lambda a, b: less(a["start"], b["start"], less(a["kind"], b["kind"], less(a["canonical"], b["canonical"], less(b["confidence"], a["confidence"])))))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        same = (last["start"] == x["start"]) & (last["kind"] == x["kind"]) & (last["canonical"] == x["canonical"])
-        return F.when(F.coalesce(same, F.lit(False)), acc).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(ordered, _none(), step)
+    same = lambda a, b: (a["start"] == b["start"]) & (a["kind"] == b["kind"]) & (a["canonical"] == b["canonical"])
+    return let(ordered, lambda rows: F.filter(rows, lambda x, i: (i == 0) | ~same(F.get(rows, i - 1), x)))
 
 
 def residual(c: Context) -> Column:

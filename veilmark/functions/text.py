@@ -20,21 +20,47 @@ def ascii_upper(c: Column) -> Column:
     return F.translate(c, _LOWER, _UPPER)
 
 
+CHUNK = 256
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running(sizes: Column) -> Column:
+    """For each of an array of integers the sum of those before it.
+
+    By chunks, so the arrays that grow in an aggregate stay short: time is linear up to many thousands.
+    """
+    total = "struct<at:int,out:array<int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")).cast(total)
+
+    def sums(xs: Column, size: Callable[[Column], Column]) -> Column:
+        return F.aggregate(xs, start, lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")).cast(total))
+
+    def whole(xs: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int"))
+        chunks = F.transform(firsts, lambda i: sums(F.slice(xs, i * CHUNK + 1, CHUNK), lambda x: x))
+        return let(chunks, lambda c: F.flatten(F.zip_with(c, sums(c, lambda x: x["at"])["out"], lambda x, first: F.transform(x["out"], lambda v: v + first))))
+
+    return let(sizes, lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(F.array().cast("array<int>")))
+
+
 def spans(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:
     """array<struct<m, start, g1, ...>>: each match, its first character and the wanted groups."""
     p = F.lit(pattern)
-    rows = F.arrays_zip(F.regexp_extract_all(text, p, 0).alias("m"), F.split(text, pattern, -1).alias("gap"), *(F.regexp_extract_all(text, p, g).alias(f"g{g}") for g in groups))
     names = ["m", *(f"g{g}" for g in groups)]
-    kind = ", ".join(f"{n}:string" for n in ["m"]) + ", start:int" + "".join(f", g{g}:string" for g in groups)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{kind}>>").alias("out"))
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), *(F.regexp_extract_all(text, p, g).alias(n) for n, g in zip(names, (0, *groups), strict=True)))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        row = F.struct(x["m"].alias("m"), begin.alias("start"), *(x[n].alias(n) for n in names[1:]))
-        more = x["m"].isNotNull()  # the last gap has no match after it
-        return F.struct(F.when(more, begin + F.length(x["m"])).otherwise(begin).alias("at"), F.when(more, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+    def placed(x: Column) -> Column:
+        gaps = F.slice(x["gaps"], F.lit(1), F.size(x["m"]))  # the last gap has no match after it
+        before = running(F.zip_with(gaps, x["m"], lambda g, m: F.length(g) + F.length(m)))
+        start = F.zip_with(before, gaps, lambda at, g: at + F.length(g))
+        rows = F.arrays_zip(*(x[n].alias(n) for n in names), start.alias("start"))
+        return F.transform(rows, lambda r: F.struct(r["m"].alias("m"), r["start"].alias("start"), *(r[n].alias(n) for n in names[1:])))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    return F.when(text.isNotNull(), let(found, placed))
 
 
 def replace_matches(text: Column, pattern: str, how: Callable[[Column], Column]) -> Column:

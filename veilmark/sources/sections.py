@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let, running
+
 MARKER = r"(?m)(?d)^(?=DUMP OF SERVICE [^:\n]+:)"
 _NAME = r"^DUMP OF SERVICE ([^:\n]+):"
 
 
 def sections(text: Column, preamble: bool = True) -> Column:
     """array<struct<name, start_line, body>>; text before the first marker has no name."""
-    parts = F.split(text, MARKER, -1)
-
-    def step(acc: Column, p: Column) -> Column:
-        name = F.nullif(F.regexp_extract(p, _NAME, 1), F.lit(""))
-        row = F.struct(name.alias("name"), acc["line"].alias("start_line"), p.alias("body"))
-        line = acc["line"] + F.regexp_count(p, F.lit("\n"))
-        return F.struct(line.alias("line"), F.when(p == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(row))).alias("out"))
-
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<name:string,start_line:int,body:string>>").alias("out"))
-    out = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    marked = F.exists(out, lambda s: s["name"].isNotNull())
-    return out if preamble else F.when(marked, F.filter(out, lambda s: s["name"].isNotNull())).otherwise(out)
+    def numbered(parts: Column) -> Column:
+        lines = running(F.transform(parts, lambda p: F.regexp_count(p, F.lit("\n"))))
+        rows = F.zip_with(parts, lines, lambda p, n: F.struct(F.nullif(F.regexp_extract(p, _NAME, 1), F.lit("")).alias("name"), (n + 1).alias("start_line"), p.alias("body")))
+        return F.filter(rows, lambda s: s["body"] != "")
+
+    out = let(F.split(text, MARKER, -1), numbered)
+    named = lambda s: s["name"].isNotNull()
+    return out if preamble else let(out, lambda rows: F.when(F.exists(rows, named), F.filter(rows, named)).otherwise(rows))
 
 
 def explode_sections(df: DataFrame, text: str = "text", preamble: bool = True) -> DataFrame:
