@@ -129,7 +129,7 @@ def test_seal_and_restore(spark):
     files = {k: FILES[k] for k in ("dumpstate.txt", "wifi.plist", "acc.db", "proto/a.pb")}
     sealed = engine.anonymize_archives(frame(spark, zipped(files)), KEY, options)
     out = opened(sealed)
-    assert b"eva.mole" not in out["dumpstate.txt"] and b"fm1." in out["dumpstate.txt"] and b"fm1." in out["proto/a.pb"]
+    assert b"eva.mole" not in out["dumpstate.txt"] and b"vm1." in out["dumpstate.txt"] and b"vm1." in out["proto/a.pb"]
     back = engine.restore_archives(sealed.archives, KEY).first()
     restored = dict(containers.members_of(bytes(back["content"]), back["kind"]))
     assert b"Account {name=eva.mole@acme.example.com" in restored["dumpstate.txt"] and back["n_opened"] > 3

@@ -46,14 +46,10 @@ def pseudonymize_column(text: Column, key: Key, options: Options | None = None,
 
 
 def table_hits(df: DataFrame, id_cols: list[str], text_cols: list[str], structural_cols: list[str] = ()) -> DataFrame:
-    """hits(id_cols, field, view, kind, value, canonical, confidence, start, end) of text and keyed columns."""
-    parts = [df.select(*id_cols, F.lit(c).alias("field"), F.explode(encodings.scan_views(F.col(c))).alias("h")) for c in text_cols]
-    keyed = lambda c: F.transform(structural.value_hits(F.col(c), F.lit(c)), lambda h: F.struct(F.lit("structural").alias("view"), *(h[k].alias(k) for k in ("kind", "value", "canonical", "confidence", "start", "end"))))
-    parts += [df.select(*id_cols, F.lit(c).alias("field"), F.explode(keyed(c)).alias("h")) for c in structural_cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*id_cols, "field", "h.*")
+    """hits(id_cols, field, view, kind, value, canonical, confidence, start, end) of text and keyed columns, in one scan."""
+    fields = [*((c, _free_hits(c)) for c in text_cols), *((c, _keyed_hits(c)) for c in structural_cols)]
+    every = F.concat(*(F.transform(hits, lambda h, c=c: F.struct(F.lit(c).alias("field"), h.alias("h"))) for c, hits in fields))
+    return df.select(*id_cols, F.explode(every).alias("x")).select(*id_cols, "x.field", "x.h.*")
 
 
 @dataclass
@@ -61,26 +57,66 @@ class TableRun:
     rewritten: DataFrame
     entities: DataFrame
     mapping: DataFrame
+    findings: DataFrame
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def anonymize_table(df: DataFrame, id_cols: list[str], text_cols: list[str], structural_cols: list[str] = (), key: Key | None = None, options: Options | None = None) -> TableRun:
-    """Rewrites columns of a table with one mapping for all rows.
+    """Rewrites columns of a table with one mapping for all rows; an error if identifiers are left (not under research).
 
-    Only hits are shuffled to form entities; each row then gets the surfaces of its own hits, so
-    no list of all surfaces is built or broadcast. id_cols tell the rows apart.
+    Rows are numbered and written once with their hits. Only hits are shuffled to form entities; rows
+    with hits then meet the surfaces of their own hits by number, rows without stay where they are. So no list of all
+    surfaces is built or broadcast, and ids that are null or repeated do no harm; id_cols only order first places.
     """
     options, key = options or Options(), key or Key.random()
     profile = effective(options)
-    hits = written(table_hits(df, id_cols, text_cols, structural_cols))
-    found = entities.resolve(entities.roll_up(hits, order=(*id_cols, "field", "start")), profile, options)
+    row, found_in = _fresh(df, "row"), _fresh(df, "hits")
+    fields = [*((c, _free_hits(c)) for c in text_cols), *((c, _keyed_hits(c)) for c in structural_cols)]
+    every = F.concat(*(F.transform(hits, lambda h, c=c: F.struct(F.lit(c).alias("field"), h.alias("h"))) for c, hits in fields))
+    rows = written(df.withColumn(row, F.monotonically_increasing_id()).withColumn(found_in, every))
+    has = F.coalesce(F.size(found_in) > 0, F.lit(False))
+    hits = rows.where(has).select(row, *(F.col(c).alias(f"id {i}") for i, c in enumerate(id_cols)), F.explode(found_in).alias("x")).select(row, *(f"id {i}" for i in range(len(id_cols))), "x.field", "x.h.*")
+    found = written(entities.resolve(entities.roll_up(hits, order=(*(f"id {i}" for i in range(len(id_cols))), "field", "start")), profile, options))
     made = written(mapping.replacements(found, key, options))
-    own = hits.select(*id_cols, "kind", "canonical", "value").distinct().join(made.select("kind", "canonical", "replacement").where("replacement is not null"), ["kind", "canonical"])
-    own = own.select(*id_cols, F.col("value").alias("surface"), mapping.encoded_like(F.col("value"), F.col("canonical"), F.col("replacement")).alias("replacement"))
-    per_row = own.groupBy(*id_cols, "surface").agg(F.min("replacement").alias("replacement"))
-    joined = df.join(rewrite.surface_pairs(per_row, *id_cols), id_cols, "left")
+    own = hits.select(F.col(row).alias("of"), "kind", "canonical", "value").distinct().join(made.select("kind", "canonical", "replacement").where("replacement is not null"), ["kind", "canonical"])
+    own = own.select("of", F.col("value").alias("surface"), mapping.encoded_like(F.col("value"), F.col("canonical"), F.col("replacement")).alias("replacement"))
+    pairs = rewrite.surface_pairs(own.groupBy("of", "surface").agg(F.min("replacement").alias("replacement")), "of").withColumnRenamed("pairs", "own pairs")
+    joined = rows.where(has).join(pairs, F.col(row) == F.col("of"), "left").unionByName(rows.where(~has), allowMissingColumns=True)
     gps = profile.action("gps_coordinate") == "drop"
-    out = joined.select(*(rewrite.rewrite_text(F.col(c), F.col("pairs"), options, gps).alias(c) if c in (*text_cols, *structural_cols) else F.col(c) for c in df.columns))
-    return TableRun(out, found, made)
+    changed = {*text_cols, *structural_cols}
+    out = written(joined.select(*(rewrite.rewrite_text(F.col(f"`{c}`"), F.col("own pairs"), options, gps).alias(c) if c in changed else F.col(f"`{c}`") for c in df.columns)))
+    left = written(_table_findings(out, [c for c, _ in fields], made, found, options))
+    n = left.count()
+    if n and profile.name != "research":
+        raise ResidualPiiError(f"{n} identifiers are left in the table")
+    return TableRun(out, found, made, left)
+
+
+def _free_hits(c: str) -> Column:
+    return encodings.scan_views(F.col(f"`{c}`"))
+
+
+def _keyed_hits(c: str) -> Column:
+    hits = structural.value_hits(F.col(f"`{c}`"), F.lit(c))
+    return F.transform(hits, lambda h: F.struct(F.lit("structural").alias("view"), *(h[k].alias(k) for k in ("kind", "value", "canonical", "confidence", "start", "end"))))
+
+
+def _table_findings(df: DataFrame, fields: list[str], made: DataFrame, found: DataFrame, options: Options) -> DataFrame:
+    """The residual gate over a table's rewritten columns; a column is a member."""
+    named = lambda x: x.withColumn("archive_id", F.lit("table"))
+    parts = [df.select(F.lit("table").alias("archive_id"), F.lit(c).alias("member"), F.lit("text").alias("handler"), F.col(f"`{c}`").alias("text")) for c in fields]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    kept = found.where("action = 'keep'").select("kind", "canonical")
+    return residual.findings(rows, named(made.select("kind", "canonical", "replacement")), named(kept), context=options.residual_context).drop("archive_id")
 
 
 # ---- archives
@@ -115,32 +151,30 @@ def archive_hits(parts: DataFrame) -> DataFrame:
 
 
 def rewrite_members(rows: DataFrame, options: Options) -> DataFrame:
-    """Members(… content, handler, pairs, gps_dropped) with their content rewritten."""
-    text = F.when(F.col("handler") == "text", rewrite.rewrite_text(F.col("content").cast("string"), F.col("pairs"), options, F.col("gps_dropped")).cast("binary")).otherwise(F.col("content"))
-    plain = rows.where("handler is null or handler = 'text'").withColumn("content", text)
+    """Members(… content, handler, pairs, hidden, gps_dropped) with their content rewritten."""
+    few = F.coalesce(F.size("pairs"), F.lit(0)) < rewrite.MANY
+    content = F.col("content").cast("string")
+    text = F.when(F.col("handler") == "text", rewrite.rewrite_text(content, F.col("pairs"), options, F.col("gps_dropped")).cast("binary")).otherwise(F.col("content"))
+    plain = rows.where((F.col("handler").isNull() | (F.col("handler") == "text") & few)).withColumn("content", text)
+    full = rows.where((F.col("handler") == "text") & ~few).withColumn("content", rewrite.before_surfaces(content, options, F.col("gps_dropped")).cast("binary"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for h, c, pairs in zip(frame["handler"], frame["content"], frame["pairs"], strict=True):
+            for h, c, pairs, hidden in zip(frame["handler"], frame["content"], frame["pairs"], frame["hidden"], strict=True):
                 table = [(p["surface"], p["replacement"]) for p in (pairs if pairs is not None else ())]
-                whole = dict(table)
-
-                def change(v: str, table: list = table, whole: dict = whole) -> str:
-                    if v in whole:
-                        return whole[v]
-                    for s, r in table:
-                        v = v.replace(s, r)
-                    return v
-
-                if h == "ips":
-                    out.append(leaves.ips_rewritten(bytes(c).decode(), change, tuple(whole)).encode())
+                change = rewrite.replacer(table)
+                if h == "text":
+                    out.append(change(bytes(c).decode()).encode())
+                elif h == "ips":
+                    out.append(leaves.ips_rewritten(bytes(c).decode(), change, (*(s for s, _ in table), *(hidden if hidden is not None else ()))).encode())
                 else:
                     out.append(leaves.REWRITES[h](bytes(c), change))
             yield frame.assign(content=out)
 
     other = rows.where(F.col("handler").isin("plist", "sqlite", "protobuf", "ips"))
-    return plain.unionByName(other.mapInPandas(run, other.schema))
+    done = full.mapInPandas(run, full.schema).withColumn("content", rewrite.after_surfaces(F.col("content").cast("string"), options).cast("binary"))
+    return plain.unionByName(done).unionByName(other.mapInPandas(run, other.schema))
 
 
 @dataclass
@@ -172,8 +206,9 @@ def anonymize_archives(archives: DataFrame, key: Key, options: Options | None =
     rows, _, found = _discover(archives, options)
     made = written(mapping.replacements(found, key, options, ("archive_id",)))
     pairs = rewrite.surface_pairs(mapping.surfaces(made, ("archive_id",)), "archive_id")
-    kept = rows.where("not drop").join(pairs, "archive_id", "left").withColumn("gps_dropped", F.lit(profile.action("gps_coordinate") == "drop"))
-    new = written(rewrite_members(kept, options).drop("pairs", "gps_dropped"))
+    hidden = made.groupBy("archive_id").agg(F.collect_set("canonical").alias("hidden"))
+    kept = rows.where("not drop").join(pairs, "archive_id", "left").join(hidden, "archive_id", "left").withColumn("gps_dropped", F.lit(profile.action("gps_coordinate") == "drop"))
+    new = written(rewrite_members(kept, options).drop("pairs", "hidden", "gps_dropped"))
     spared = found.where("action = 'keep'")
     left = written(left_over(new, made, spared, options))
     state = residual.status(left, archives, profile.name == "research")
@@ -222,7 +257,7 @@ def restore_archives(archives: DataFrame, key: Key) -> DataFrame:
         raise CryptoError("a sealed value does not open with this key")
     pairs = opened.groupBy("archive_id").agg(rewrite.longest_first(F.collect_list(F.struct(F.col("token").alias("surface"), F.col("value").alias("replacement")))).alias("pairs"), F.sum("n").alias("n_opened"))
     joined = rows.join(pairs, "archive_id", "left")
-    new = rewrite_members(joined.withColumn("gps_dropped", F.lit(False)).drop("n_opened"), Options(mode="encrypt"))
+    new = rewrite_members(joined.withColumn("gps_dropped", F.lit(False)).withColumn("hidden", F.array().cast("array<string>")).drop("n_opened"), Options(mode="encrypt"))
     packed = containers.repack(new.select("archive_id", "kind", "member", "ordinal", "content"))
     return packed.join(pairs.select("archive_id", "n_opened"), "archive_id", "left").withColumn("n_opened", F.coalesce("n_opened", F.lit(0)))
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .keys import Key
 from .text import replace_matches
 
-PREFIX = "fm1."
-TOKEN = r"fm1\.[A-Za-z0-9_-]{20,}"
+PREFIX = "vm1."
+TOKEN = r"vm1\.[A-Za-z0-9_-]{20,}"
 AAD = b"veilmark-sealed-value"
 
 
@@ -22,7 +22,7 @@ def is_token(value: Column) -> Column:
 
 
 def nonce(value: Column, key: Key) -> Column:
-    return F.unhex(F.substring(key.hmac(F.concat(F.lit("fm1-nonce|"), value)), 1, 24))
+    return F.unhex(F.substring(key.hmac(F.concat(F.lit("veilmark-nonce|"), value)), 1, 24))
 
 
 def seal(value: Column, key: Key) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .text import FLAGS, replace_matches
 
+# The time stamps that are moved.
 ISO = r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b"
 LOGCAT = r"\b\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}\b"
 EPOCH_MS = r"\b1[6-9]\d{11}\b"

@@ -46,7 +46,7 @@ def report(archives: DataFrame, summary: DataFrame, dropped: DataFrame, warned:
 
 def markdown(report: Column) -> Column:
     """The same as Markdown."""
-    item = lambda rows, f: F.array_join(F.transform(F.coalesce(rows, F.array().cast("array<string>")) if rows is None else rows, f), "\n")
+    item = lambda rows, f: F.coalesce(F.array_join(F.transform(rows, f), "\n"), F.lit(""))
     return F.concat_ws(
         "\n",
         F.lit("# Pseudonymization report"), F.lit(""),

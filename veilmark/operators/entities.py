@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..kinds import KINDS
 from ..plans.policy import Options, Profile, allowlist
 
+# Packages of the systems themselves.
 PACKAGE_PREFIXES = ("com.android.", "com.google.android.", "android.", "com.anon.pkg")
 
 

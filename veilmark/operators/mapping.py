@@ -11,6 +11,7 @@ from ..functions.keys import Key
 from ..functions.text import ascii_lower, ascii_upper
 from ..kinds import ORDER
 from ..plans.policy import Options
+from ..plans.storage import written
 
 #: kinds with ordinals, and the label whose counter they share
 ORDINAL = {"email": "email", "ssid": "ssid", "user_name": "user", "person_name": "user"}
@@ -31,12 +32,46 @@ def ordinals(entities: DataFrame, keys: tuple[str, ...] = (), order: tuple[str,
     return rows.where("label is not null").withColumn("ordinal_name", name).drop("label").unionByName(rows.where("label is null").withColumn("ordinal_name", F.lit(None).cast("string")).drop("label"))
 
 
+#: kinds whose pseudonym is the same for all, or the value itself
+CONSTANT = ("gps_coordinate", "cell_id", "ipv4_private", "timestamp", "carrier")
+FIRST_TRIES, MOST_TRIES = 16, 4096
+
+
 def collisions(candidates: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds collision: how many entities of the kind have the same candidate and come before."""
     w = Window.partitionBy(*keys, "kind", "candidate").orderBy("canonical")
     return candidates.withColumn("collision", F.row_number().over(w) - 1)
 
 
+def _made(key: Key, attempt: Column | None = None) -> Column:
+    return pseudonym.pseudonym(F.col("kind"), F.col("canonical"), key.tag(F.col("kind"), F.col("canonical"), attempt))
+
+
+def extended(candidates: DataFrame, key: Key, keys: tuple[str, ...] = ()) -> DataFrame:
+    """candidates(keys, kind, canonical, candidate) made unique within keys and kind.
+
+    The first by canonical keeps a candidate. The others try the tags that follow, several at a time and more each
+    round, and take the first that is free; one that two of them want goes to the first by canonical. An
+    error tells that a kind's pseudonyms are used up.
+    """
+    by = [*keys, "kind"]
+    ranked = written(collisions(candidates.select(*by, "canonical", "candidate"), keys))
+    done, left = ranked.where("collision = 0").drop("collision"), ranked.where("collision > 0").select(*by, "canonical")
+    first, tries = 1, FIRST_TRIES
+    while left.limit(1).count():
+        if tries > MOST_TRIES:
+            short = left.first()
+            raise ValueError(f"no pseudonym of kind {short['kind']} is free for all its entities")
+        wanted = left.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1)))).withColumn("candidate", _made(key, F.col("attempt")))
+        free = wanted.join(done.select(*by, "candidate"), [*by, "candidate"], "left_anti")
+        pick = free.groupBy(*by, "canonical").agg(F.min(F.struct("attempt", "candidate"))["candidate"].alias("candidate"))
+        won = written(collisions(pick, keys).where("collision = 0").drop("collision"))
+        left = written(left.join(won.select(*by, "canonical"), [*by, "canonical"], "left_anti"))
+        done = done.unionByName(won)
+        first, tries = first + tries, tries * 2
+    return done
+
+
 def replacements(resolved: DataFrame, key: Key, options: Options | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """mapping(keys, kind, canonical, surface_forms, replacement, action) of entities that are not kept."""
     options = options or Options()
@@ -51,12 +86,18 @@ def replacements(resolved: DataFrame, key: Key, options: Options | None = None,
     if options.split_domain_tag:
         own = key.tag(F.lit("domain_name"), F.substring_index(canonical, "@", -1))
         made = F.when(kind == "email", pseudonym.email(canonical, F.col("tag"), own)).otherwise(made)
-    rows = collisions(rows.withColumn("candidate", made), keys)
+    rows = rows.withColumn("candidate", made)
+    # constants are not compared: all their entities would meet in one task
+    varies = (F.col("action") == "pseudo") & ~kind.isin(*CONSTANT)
     if options.on_collision == "error":
-        unique = F.when((F.col("action") == "pseudo") & (F.col("collision") > 0) & ~kind.isin("gps_coordinate", "cell_id"), F.raise_error(F.lit("two entities have one pseudonym"))).otherwise(F.col("candidate"))
+        clash = written(collisions(rows.where(varies).select(*keys, "kind", "canonical", "candidate"), keys)).where("collision > 0").first()
+        if clash:
+            raise ValueError(f"two entities of kind {clash['kind']} have one pseudonym")
+        unique = F.col("candidate")
     else:
-        again = pseudonym.pseudonym(kind, canonical, key.tag(kind, canonical, F.col("collision")))
-        unique = F.when(F.col("collision") > 0, again).otherwise(F.col("candidate"))
+        fixed = extended(rows.where(varies), key, keys).withColumnRenamed("candidate", "fixed")
+        rows = rows.join(fixed, [*keys, "kind", "canonical"], "left")
+        unique = F.coalesce("fixed", "candidate")
     if options.ordinal:
         unique = F.coalesce("ordinal_name", unique)
     replaced = (
@@ -65,7 +106,7 @@ def replacements(resolved: DataFrame, key: Key, options: Options | None = None,
         .when(F.col("action") == "shift", F.lit(None).cast("string"))
         .otherwise(unique)
     )
-    return rows.withColumn("replacement", replaced).drop("tag", "candidate", "collision", "ordinal_name")
+    return rows.withColumn("replacement", replaced).drop("tag", "candidate", "fixed", "ordinal_name")
 
 
 def encoded_like(surface: Column, canonical: Column, replacement: Column) -> Column:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,41 +31,60 @@ def surface_pairs(surfaces: DataFrame, *keys: str) -> DataFrame:
     return surfaces.groupBy(*keys).agg(longest_first(F.collect_list(F.struct("surface", "replacement"))).alias("pairs"))
 
 
-def replace_many(df: DataFrame, text: str, surfaces: list[tuple[str, str]]) -> DataFrame:
-    """For thousands of surfaces: one pass of an Aho-Corasick automaton that takes the longest match
-    at the leftmost place. It differs from apply_surfaces only where a replacement makes a surface."""
-    table = dict(surfaces)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for s in table:
-            machine.add_word(s, s)
-        if table:
-            machine.make_automaton()
-        for frame in frames:
-            out = []
-            for t in frame[text]:
-                if t is None or not table:
-                    out.append(t)
-                    continue
-                best: dict[int, str] = {}
-                for end, s in machine.iter(t):
-                    at = end - len(s) + 1
-                    if len(s) > len(best.get(at, "")):
-                        best[at] = s
-                parts, upto = [], 0
-                for at in sorted(best):
-                    if at >= upto:
-                        parts += [t[upto:at], table[best[at]]]
-                        upto = at + len(best[at])
-                out.append("".join([*parts, t[upto:]]))
-            yield frame.assign(**{text: out})
-
-    return df.mapInPandas(run, df.schema)
-
-
+MANY = 64  # surfaces from which on an automaton looks for those that a text holds
+
+
+def replacer(pairs: list[tuple[str, str]]) -> Callable[[str], str]:
+    """A function of a text: itself where it is a surface, else as apply_surfaces does it. pairs: longest first.
+
+    With MANY pairs or more an Aho-Corasick automaton finds all places in one pass; of overlapping ones the
+    first surface in the order of pairs is replaced. Where a replacement makes a surface, the surfaces that occur are
+    replaced one after the other instead.
+    """
+    whole = dict(pairs)
+    pairs = [(s, r) for s, r in pairs if s != r]
+    if len(pairs) < MANY:
+        return lambda text: whole[text] if text in whole else _in_turn(text, pairs)
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for i, (s, _) in enumerate(pairs):
+        machine.add_word(s, i)
+    machine.make_automaton()
+
+    def change(text: str) -> str:
+        if text in whole:
+            return whole[text]
+        found = sorted((i, end + 1 - len(pairs[i][0])) for end, i in machine.iter(text))
+        taken, chosen = bytearray(len(text)), []
+        for i, at in found:
+            end = at + len(pairs[i][0])
+            if taken.find(1, at, end) < 0:
+                taken[at:end] = b"\x01" * (end - at)
+                chosen.append((at, end, i))
+        out, upto = [], 0
+        for at, end, i in sorted(chosen):
+            out += [text[upto:at], pairs[i][1]]
+            upto = end
+        new = "".join([*out, text[upto:]])
+        if found and next(machine.iter(new), None):
+            at = -1
+            while (at := min((i for _, i in machine.iter(text) if i > at), default=-1)) >= 0:
+                text = text.replace(*pairs[at])
+            return text
+        return new
+
+    return change
+
+
+def _in_turn(text: str, pairs: list[tuple[str, str]]) -> str:
+    for s, r in pairs:
+        text = text.replace(s, r)
+    return text
+
+
+# The block of a location service's dump, and the note for a dropped line.
+LINE_NOTE = "<log line dropped>"
 GPS_BLOCK = r"\{([^,]+),\s*-?\d+\.\d+\s*,\s*-?\d+\.\d+(±[^,}]*)?"
 
 
@@ -79,11 +97,18 @@ def drop_package_lines(text: Column, packages: tuple[str, ...]) -> Column:
     if not packages:
         return text
     named = "|".join(re.escape(p) for p in packages)
-    return F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(named), F.lit("<log line dropped>")).otherwise(x)), "\n")
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(named), F.lit(LINE_NOTE)).otherwise(x)), "\n")
 
 
-def rewrite_text(text: Column, pairs: Column, options: Options, gps_dropped: Column | bool = False) -> Column:
+def before_surfaces(text: Column, options: Options, gps_dropped: Column | bool = False) -> Column:
     gps = gps_dropped if isinstance(gps_dropped, Column) else F.lit(gps_dropped)
     out = text if options.mode == "encrypt" else F.when(gps, drop_gps(text)).otherwise(text)
-    out = apply_surfaces(drop_package_lines(out, options.drop_text_from_packages), pairs)
-    return out if options.time_shift is None else shift_text(out, options.time_shift, options.time_shift_mode)
+    return drop_package_lines(out, options.drop_text_from_packages)
+
+
+def after_surfaces(text: Column, options: Options) -> Column:
+    return text if options.time_shift is None else shift_text(text, options.time_shift, options.time_shift_mode)
+
+
+def rewrite_text(text: Column, pairs: Column, options: Options, gps_dropped: Column | bool = False) -> Column:
+    return after_surfaces(apply_surfaces(before_surfaces(text, options, gps_dropped), pairs), options)

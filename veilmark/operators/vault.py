@@ -12,12 +12,15 @@ from ..functions.keys import argon2id
 from ..kinds import VaultError
 
 MAGIC = b"VMVAULT1"
+MOST = 5_000_000
 
 
 def write_vault(mapping: DataFrame, path: str, passphrase: str, output: str | None = None) -> None:
     """(kind, canonical, replacement) of a mapping; a vault is one run's entity table, which fits on the driver."""
     if output and os.path.dirname(os.path.abspath(output)) == os.path.dirname(os.path.abspath(path)):
         raise VaultError("the vault must not lie beside the output")
+    if mapping.limit(MOST + 1).count() > MOST:
+        raise VaultError(f"a vault holds {MOST} entities at most")
     rows = [list(r) for r in mapping.where("replacement is not null").select("kind", "canonical", "replacement").distinct().orderBy("kind", "canonical").collect()]
     salt, nonce = os.urandom(16), os.urandom(12)
     box = mapping.sparkSession.range(1).select(F.aes_encrypt(F.lit(json.dumps(rows).encode()), F.lit(argon2id(passphrase.encode(), salt)), F.lit("GCM"), F.lit("DEFAULT"), F.lit(nonce))).first()[0]

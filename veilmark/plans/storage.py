@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir; only where that is unset our own is set."""
+    """A new path in the folder of spark.checkpoint.dir; only a local session that lacks it gets one of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or "/tmp/checkpoints")
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 

@@ -53,7 +53,7 @@ DUMP = f"""concat('DUMP OF SERVICE account:', chr(10), 'Account {{name=', lower(
  'DUMP OF SERVICE user:', chr(10), 'UserInfo{{0:', c_name, ':13}}', chr(10), 'Owner name: ', c_name, chr(10),
  'DUMP OF SERVICE wifi:', chr(10), 'SSID: "Net ', c_mktsegment, '"', chr(10), 'BSSID: ', {", ':', ".join(f"substr({_MD5}, {i}, 2)" for i in (1, 3, 5, 7, 9, 11))}, chr(10),
  'DUMP OF SERVICE bluetooth_manager:', chr(10), 'name: "', c_name, ' AirPods"', chr(10), 'address: ', {", ':', ".join(f"substr({_MD5}, {i}, 2)" for i in (13, 15, 17, 19, 21, 23))}, chr(10),
- 'DUMP OF SERVICE location:', chr(10), '{{fused, ', cast(c_custkey % 90 as string), '.', lpad(cast((c_custkey * 7919) % 1000000 as string), 6, '0'), ',-', cast(c_custkey % 180 as string), '.', lpad(cast((c_custkey * 104729) % 1000000 as string), 6, '0'), '±14.69m, Bundle}}', chr(10),
+ 'DUMP OF SERVICE location:', chr(10), '{{fused, ', cast(c_custkey % 90 as string), '.', lpad(cast((c_custkey * 7919) % 1000000 as string), 6, '0'), ',-', cast(c_custkey % 180 as string), '.', lpad(cast((c_custkey * 104729) % 1000000 as string), 6, '0'), '±7.5m, Bundle}}', chr(10),
  'DUMP OF SERVICE iphonesubinfo:', chr(10), 'IMEI: 49015420', lpad(cast(c_custkey % 10000000 as string), 7, '0'), chr(10),
  'DUMP OF SERVICE package:', chr(10), 'Package [com.vendor', cast(c_nationkey as string), '.app]', chr(10), 'installerPackageName=com.android.vending', chr(10),
  'SYSTEM LOG:', chr(10), '06-01 12:00:', lpad(cast(c_custkey % 60 as string), 2, '0'), '.000 E http: user=', lower(replace(c_name, '#', '.')), '%40corp', cast(c_nationkey as string), '.example.com at 1717', lpad(cast(c_custkey % 1000000 as string), 6, '0'), ' uuid=',

@@ -78,6 +78,15 @@ def _columns(db: sqlite3.Connection) -> Iterator[tuple[str, str]]:
             yield t, row[1]
 
 
+def _same_row(db: sqlite3.Connection, table: str) -> list[str]:
+    """What tells rows apart: the row id, or the primary key of a table without one."""
+    try:
+        db.execute(f"select rowid from {_quoted(table)} limit 1")
+        return ["rowid"]
+    except sqlite3.OperationalError:
+        return [_quoted(c[1]) for c in sorted(db.execute(f"pragma table_info({_quoted(table)})").fetchall(), key=lambda c: c[5]) if c[5]]
+
+
 def sqlite_values(content: bytes) -> Iterator[tuple[str, str]]:
     db = _open(content)
     try:
@@ -89,16 +98,14 @@ def sqlite_values(content: bytes) -> Iterator[tuple[str, str]]:
 
 
 def sqlite_rewritten(content: bytes, rewrite: Rewrite) -> bytes:
-    """Text cells of tables with row ids; then vacuumed, so no old bytes stay in free pages."""
+    """Text cells; then vacuumed, so no old bytes stay in free pages."""
     db = _open(content)
     try:
         for t, c in list(_columns(db)):
-            try:
-                cells = db.execute(f"select rowid, {_quoted(c)} from {_quoted(t)} where typeof({_quoted(c)}) = 'text'").fetchall()
-            except sqlite3.OperationalError:  # a table without row ids
-                continue
-            new = [(w, r) for r, v in cells if (w := rewrite(v)) != v]
-            db.executemany(f"update {_quoted(t)} set {_quoted(c)} = ? where rowid = ?", new)
+            key = _same_row(db, t)
+            cells = db.execute(f"select {_quoted(c)}, {', '.join(key)} from {_quoted(t)} where typeof({_quoted(c)}) = 'text'").fetchall()
+            new = [(w, *k) for v, *k in cells if (w := rewrite(v)) != v]
+            db.executemany(f"update {_quoted(t)} set {_quoted(c)} = ? where {' and '.join(f'{k} = ?' for k in key)}", new)
         db.commit()
         db.execute("vacuum")
         return db.serialize()
@@ -131,14 +138,17 @@ def ips_rewritten(text: str, rewrite: Rewrite, hidden: tuple[str, ...] = ()) ->
     return "\n".join(json.dumps(walk(p), ensure_ascii=False, separators=(",", ":")) for p in parts)
 
 
+DUMP_NOTE = "memory near <hexdump dropped: contained PII>"  # fixed value
+
+
 def without_memory_dumps(text: str, hidden: tuple[str, ...]) -> str:
-    """Without the memory blocks that hold a hidden value: from a 'memory near' line through its dump lines."""
+    """Memory blocks that hold a hidden value (from a 'memory near' line through its dump lines) become a note."""
     out: list[str] = []
     block: list[str] = []
 
     def close() -> None:
-        if block and not any(h in "\n".join(block) for h in hidden):
-            out.extend(block)
+        if block:
+            out.extend([DUMP_NOTE] if any(h in "\n".join(block) for h in hidden) else block)
         block.clear()
 
     for line in text.split("\n"):
@@ -154,7 +164,7 @@ def without_memory_dumps(text: str, hidden: tuple[str, ...]) -> str:
     return "\n".join(out)
 
 
-# ---- protocol buffers without a schema: top-level fields
+# ---- protocol buffers without a schema
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -218,12 +228,18 @@ def _text(payload: bytes) -> str | None:
 
 
 def protobuf_values(content: bytes) -> Iterator[tuple[str, str]]:
+    """Texts of fields, those of nested messages under the path of their numbers."""
     try:
         fields = protobuf_fields(content)
     except ParseError:
         return
     for number, wire, payload in fields:
-        if wire == 2 and (text := _text(payload)) is not None:
+        if wire != 2:
+            continue
+        if _is_message(payload):
+            for path, text in protobuf_values(payload):
+                yield f"{number}.{path}", text
+        elif (text := _text(payload)) is not None:
             yield str(number), text
 
 
