@@ -478,7 +478,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """All columns, with each span of text replaced by its kind in angle brackets; null text stays null."""
     w = fit(docs)
     plain, places = numbered(docs)
-    at = plain.columns.index(places["text"])
+    names = plain.columns
+    at = names.index(places["text"])
     small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,6 +493,6 @@ def redact(docs: DataFrame) -> DataFrame:
                         out += [text[upto:max(s, upto)], f"<{KINDS[k].upper()}>" if s >= upto else ""]
                         upto = e
                 new.append("".join([*out, text[upto:]]))
-            yield pa.RecordBatch.from_arrays([pa.array([None if o is None else n for o, n in zip(old, new, strict=True)], pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=plain.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([None if o is None else n for o, n in zip(old, new, strict=True)], pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=names)
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
