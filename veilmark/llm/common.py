@@ -25,18 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests) our own is set."""
+    """A new folder under spark.checkpoint.dir; only a local session that lacks it (tests) gets one of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or "/tmp/checkpoints")
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: written to the shared folder and read again."""
+ROW_GROUP = 8 << 20  # bytes that a task holds of what it writes
+
+
+def written(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Cuts the lineage: written to the shared folder and read again. narrow: rows are few bytes for each of the input, so
+    files are made of many tasks' rows instead of one each."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    (df.hint("rebalance") if narrow else df).write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -131,9 +138,11 @@ BATCH_ROWS = 1000  # of an Arrow batch at most, for the memory of executors and
 
 
 def small_batches(df: DataFrame) -> None:
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, BATCH_ROWS)
+    """Texts may be long: fewer of them at a time, in Arrow batches and from Parquet. Set for the session, only downwards."""
+    conf = df.sparkSession.conf
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+            conf.set(name, BATCH_ROWS)
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

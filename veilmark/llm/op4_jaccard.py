@@ -374,7 +374,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Described documents, the classes (sig, none, least) with their least doc_id, and the seed whose signatures hold."""
     seed = 0
     while True:
-        described = written(_describe(docs, seed))
+        described = written(_describe(docs, seed), narrow=True)
         classes = described.where("n > 0 and sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), (F.min("proof") != F.max("proof")).alias("clash"))
         classes = written(classes)
         if not classes.where("clash").limit(1).count():
@@ -415,7 +415,7 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Rows without words stay as they are, repeated ones too; of a repeated representative one row stays.
     """
-    rows = written(_grouped(docs).where("n > 0"))
+    rows = written(_grouped(docs).where("n > 0"), narrow=True)
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b")).select("b.doc_id", "b.row").distinct()
     plain, at = numbered(docs)
     doc_id, text = (F.col(at["doc_id"]) if "doc_id" in at else F.lit(None)).cast("bigint"), F.col(at["text"]).cast("string")

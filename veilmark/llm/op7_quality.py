@@ -111,7 +111,7 @@ def fences(rated: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    base = written(measures(docs))
+    base = written(measures(docs), narrow=True)
     rated = base.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     for k, (how, most, _, _) in RATIOS.items():
         rated = rated.withColumn(f"r_{k}", F.expr(f"if(n_words = 0, 0, least({how}, {most}))" if "n_lines" not in how else f"if(n_lines = 0, 0, least({how}, {most}))"))
