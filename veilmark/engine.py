@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import detect, encodings, pseudonym, seal, structural
 from .functions.keys import Key
 from .kinds import CONFIDENCE, CryptoError, ResidualPiiError
-from .operators import audit, entities, mapping, members, residual, rewrite
+from .operators import audit, entities, logarchive, mapping, members, residual, rewrite
 from .plans.policy import Options, describe, effective
 from .plans.storage import written
 from .sources import archives as containers
@@ -91,12 +91,13 @@ def anonymize_table(df: DataFrame, id_cols: list[str], text_cols: list[str], str
     joined = rows.where(has).join(pairs, F.col(row) == F.col("of"), "left").unionByName(rows.where(~has), allowMissingColumns=True)
     gps = profile.action("gps_coordinate") == "drop"
     changed = {*text_cols, *structural_cols}
-    out = written(joined.select(*(rewrite.rewrite_text(F.col(f"`{c}`"), F.col("own pairs"), options, gps).alias(c) if c in changed else F.col(f"`{c}`") for c in df.columns)))
-    left = written(_table_findings(out, [c for c, _ in fields], made, found, options))
+    out = written(joined.select(*(rewrite.rewrite_text(F.col(f"`{c}`"), F.col("own pairs"), options, gps).alias(c) if c in changed else F.col(f"`{c}`") for c in df.columns), has.alias(found_in)))
+    # a text without any hit has none after rewriting
+    left = written(_table_findings(out.where(F.col(found_in)), [c for c, _ in fields], made, found, options))
     n = left.count()
     if n and profile.name != "research":
         raise ResidualPiiError(f"{n} identifiers are left in the table")
-    return TableRun(out, found, made, left)
+    return TableRun(out.drop(found_in), found, made, left)
 
 
 def _free_hits(c: str) -> Column:
@@ -130,20 +131,22 @@ def chunks(rows: DataFrame, options: Options) -> DataFrame:
     plain = explode_sections(text.where("handler = 'text'"), preamble=options.preamble)
     ips = text.where("handler = 'ips'").select("archive_id", "member", "ordinal", "handler", F.lit(0).alias("chunk_no"), F.lit("ips").alias("section"), F.lit(1).alias("start_line"), "text")
 
+    formats = dict(leaves.VALUES)  # registered ones, too, travel with the task
+
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for a, m, o, h, c in frame.itertuples(index=False):
-                values = list(leaves.VALUES[h](bytes(c)))
+                values = list(formats[h](bytes(c)))
                 yield pd.DataFrame([(a, m, o, h, i, k, v) for i, (k, v) in enumerate(values)], columns=["archive_id", "member", "ordinal", "handler", "chunk_no", "key_path", "text"])
 
-    inner = rows.where(F.col("handler").isin("plist", "sqlite", "protobuf")).select("archive_id", "member", "ordinal", "handler", "content").mapInPandas(walk, LEAVES)
+    inner = rows.where(F.col("handler").isin(*formats)).select("archive_id", "member", "ordinal", "handler", "content").mapInPandas(walk, LEAVES)
     inner = inner.withColumn("section", F.when(F.col("handler") == "protobuf", F.lit("protobuf"))).withColumn("start_line", F.lit(None).cast("int")).withColumn("key_path", F.when(F.col("handler") != "protobuf", F.col("key_path")))
     return plain.unionByName(ips).withColumn("key_path", F.lit(None).cast("string")).unionByName(inner)
 
 
 def archive_hits(parts: DataFrame) -> DataFrame:
     keys = ("archive_id", "member", "ordinal", "handler", "section", "start_line", "key_path", "chunk_no")
-    free = parts.where("key_path is null").select(*keys, F.explode(encodings.scan_views(F.col("text"), F.col("section"))).alias("h"))
+    free = parts.where("key_path is null").select(*keys, F.explode(encodings.scan_views(F.col("text"), F.col("section"), dense=True)).alias("h"))
     keyed = F.transform(structural.value_hits(F.col("text"), F.col("key_path")), lambda h: F.struct(F.lit("structural").alias("view"), *(h[k].alias(k) for k in ("kind", "value", "canonical", "confidence", "start", "end"))))
     tied = parts.where("key_path is not null").select(*keys, F.explode(keyed).alias("h"))
     out = free.unionByName(tied).select(*keys, "h.*")
@@ -158,6 +161,8 @@ def rewrite_members(rows: DataFrame, options: Options) -> DataFrame:
     plain = rows.where((F.col("handler").isNull() | (F.col("handler") == "text") & few)).withColumn("content", text)
     full = rows.where((F.col("handler") == "text") & ~few).withColumn("content", rewrite.before_surfaces(content, options, F.col("gps_dropped")).cast("binary"))
 
+    formats = dict(leaves.REWRITES)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
@@ -169,10 +174,10 @@ def rewrite_members(rows: DataFrame, options: Options) -> DataFrame:
                 elif h == "ips":
                     out.append(leaves.ips_rewritten(bytes(c).decode(), change, (*(s for s, _ in table), *(hidden if hidden is not None else ()))).encode())
                 else:
-                    out.append(leaves.REWRITES[h](bytes(c), change))
+                    out.append(formats[h](bytes(c), change))
             yield frame.assign(content=out)
 
-    other = rows.where(F.col("handler").isin("plist", "sqlite", "protobuf", "ips"))
+    other = rows.where(F.col("handler").isin(*formats, "ips"))
     done = full.mapInPandas(run, full.schema).withColumn("content", rewrite.after_surfaces(F.col("content").cast("string"), options).cast("binary"))
     return plain.unionByName(done).unionByName(other.mapInPandas(run, other.schema))
 
@@ -190,7 +195,10 @@ class ArchiveRun:
 def _discover(archives: DataFrame, options: Options, keep_all: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members, hits and resolved entities."""
     profile = effective(options)
-    rows = written(members.classify(containers.members(archives), profile, options, keep_all))
+    inside = containers.members(archives)
+    if options.logarchive == "jsonl":
+        inside = logarchive.with_lines(inside)
+    rows = written(members.classify(inside, profile, options, keep_all))
     hits = written(archive_hits(chunks(rows.where("not drop"), options)))
     found = entities.roll_up(hits, ("archive_id",), ("ordinal", "member", "chunk_no", "start", "section", "start_line", "key_path"))
     return rows, hits, written(entities.resolve(found, profile, options))
@@ -225,7 +233,7 @@ def anonymize_archives(archives: DataFrame, key: Key, options: Options | None =
 def left_over(rows: DataFrame, made: DataFrame, kept: DataFrame, options: Options) -> DataFrame:
     """Findings in rewritten members, binary formats scanned as the texts they hold."""
     parts = chunks(rows, options) if options.residual_context == "section" else chunks(rows, options).withColumn("section", F.lit(None).cast("string"))
-    return residual.findings(parts.select("archive_id", "member", "handler", "text"), made, kept, context=options.residual_context)
+    return residual.findings(parts.select("archive_id", "member", "handler", "text"), made, kept, context=options.residual_context, dense=True)
 
 
 def explain_archives(archives: DataFrame, options: Options | None = None) -> DataFrame:

@@ -43,8 +43,8 @@ def _hit(kind: Column | str, value: Column, canonical: Column, confidence: Colum
 class Context:
     """A chunk's columns; section and key_path may be null."""
 
-    def __init__(self, text: Column, section: Column | None = None, key_path: Column | None = None):
-        self.text = text
+    def __init__(self, text: Column, section: Column | None = None, key_path: Column | None = None, dense: bool = False):
+        self.text, self.dense = text, dense  # dense: of many thousands of hits
         self.section = F.lit(None).cast("string") if section is None else section
         self.key_path = F.lit(None).cast("string") if key_path is None else key_path
 
@@ -57,7 +57,7 @@ class Context:
 
 
 def _all(c: Context, guard: Column, pattern: str, keep: Callable[[Column], Column], hit: Callable[[Column], Column], groups: tuple[int, ...] = ()) -> Column:
-    found = F.transform(F.filter(spans(c.text, FLAGS + pattern, groups), keep), hit)
+    found = F.transform(F.filter(spans(c.text, FLAGS + pattern, groups, c.dense), keep), hit)
     return F.when(F.coalesce(guard, F.lit(False)), found).otherwise(_none())
 
 
@@ -180,20 +180,26 @@ def ctx_package(c: Context) -> Column:
 CONTEXTUAL = {"account": ctx_account, "user": ctx_user, "wifi": ctx_wifi, "location": ctx_location, "bluetooth": ctx_bluetooth, "telephony": ctx_telephony, "package": ctx_package}
 
 
-def scan(c: Context, lexical: tuple[str, ...] = tuple(LEXICAL), contextual: tuple[str, ...] = tuple(CONTEXTUAL)) -> Column:
-    """Hits of all detectors, ordered by start, kind and canonical; of equal ones the surest."""
+def register(name: str, detector: Callable[[Context], Column], contextual: bool = False) -> None:
+    """A detector of one's own: a function of a Context to an array of hits (HITS). It takes part in every scan from now on."""
+    (CONTEXTUAL if contextual else LEXICAL)[name] = detector
+
+
+def scan(c: Context, lexical: tuple[str, ...] | None = None, contextual: tuple[str, ...] | None = None) -> Column:
+    """Hits of all detectors (or of those named), ordered by start, kind and canonical; of equal ones the surest."""
+    lexical, contextual = (tuple(known) if names is None else names for names, known in ((lexical, LEXICAL), (contextual, CONTEXTUAL)))
     parts = [CONTEXTUAL[n](c) for n in contextual] + [LEXICAL[n](c) for n in lexical]
     hits = F.concat(*parts) if len(parts) > 1 else parts[0]
     less = lambda a, b, *rest: F.when(a < b, -1).when(a > b, 1).otherwise(rest[0] if rest else 0)
     ordered = F.array_sort(hits, lambda a, b: less(a["start"], b["start"], less(a["kind"], b["kind"], less(a["canonical"], b["canonical"], less(b["confidence"], a["confidence"])))))
 
     same = lambda a, b: (a["start"] == b["start"]) & (a["kind"] == b["kind"]) & (a["canonical"] == b["canonical"])
-    return let(ordered, lambda rows: F.filter(rows, lambda x, i: (i == 0) | ~same(F.get(rows, i - 1), x)))
+    return let(ordered, lambda rows: F.when(F.size(rows) < 2, rows).otherwise(F.filter(rows, lambda x, i: (i == 0) | ~same(F.get(rows, i - 1), x))))
 
 
 def residual(c: Context) -> Column:
     """What a scan without context finds with Medium confidence or more."""
-    return F.filter(scan(Context(c.text), contextual=("account",)), lambda h: h["confidence"] >= MEDIUM)
+    return F.filter(scan(Context(c.text, dense=c.dense), contextual=("account",)), lambda h: h["confidence"] >= MEDIUM)
 
 
 def crude_email_tokens(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import detect
-from .text import FLAGS, replace_matches, spans
+from .text import FLAGS, let, replace_matches, spans
 
 BASE64_RUN = r"[A-Za-z0-9+/]{16,}={0,2}"
 _PERCENT_WORD = r"\S*%[0-9A-Fa-f]{2}\S*"
@@ -33,7 +33,8 @@ def url_encoded(v: Column) -> Column:
 
 def url_hits(text: Column, section: Column | None = None, key_path: Column | None = None, whole: bool = False) -> Column:
     """Hits of the decoded view; their value is the encoded form."""
-    hits = detect.scan(detect.Context(F.coalesce(url_decoded(text, whole), F.lit("")), section, key_path))
+    none = F.array().cast(detect.HITS)
+    hits = let(url_decoded(text, whole), lambda t: F.when(t.isNull(), none).otherwise(detect.scan(detect.Context(t, section, key_path))))
     return F.transform(hits, lambda h: h.withField("value", url_encoded(h["value"])))
 
 
@@ -45,7 +46,7 @@ def base64_hits(text: Column, section: Column | None = None, key_path: Column |
     """Hits inside base64 runs; value and span are the whole run."""
 
     def inside(x: Column) -> Column:
-        hits = detect.scan(detect.Context(F.coalesce(base64_decoded(x["m"]), F.lit("")), section, key_path))
+        hits = let(base64_decoded(x["m"]), lambda t: F.when(t.isNull(), F.array().cast(detect.HITS)).otherwise(detect.scan(detect.Context(t, section, key_path))))
         start = x["start"]
         return F.transform(hits, lambda h: h.withField("value", x["m"]).withField("start", start).withField("end", start + F.length(x["m"])))
 
@@ -53,8 +54,8 @@ def base64_hits(text: Column, section: Column | None = None, key_path: Column |
     return F.when(text.rlike("[A-Za-z0-9+/]{16}"), F.flatten(F.transform(runs, inside))).otherwise(F.array().cast(detect.HITS))
 
 
-def scan_views(text: Column, section: Column | None = None, key_path: Column | None = None) -> Column:
+def scan_views(text: Column, section: Column | None = None, key_path: Column | None = None, dense: bool = False) -> Column:
     """Hits of the literal, percent-decoded and base64 views, each with its view."""
     named = lambda hits, view: F.transform(hits, lambda h: F.struct(F.lit(view).alias("view"), *(h[k].alias(k) for k in ("kind", "value", "canonical", "confidence", "start", "end"))))
-    literal = detect.scan(detect.Context(text, section, key_path))
+    literal = detect.scan(detect.Context(text, section, key_path, dense))
     return F.concat(named(literal, "literal"), named(url_hits(text, section, key_path), "url"), named(base64_hits(text, section, key_path), "base64"))

@@ -47,20 +47,35 @@ def running(sizes: Column) -> Column:
     return let(sizes, lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(F.array().cast("array<int>")))
 
 
-def spans(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:
-    """array<struct<m, start, g1, ...>>: each match, its first character and the wanted groups."""
+def spans(text: Column, pattern: str, groups: tuple[int, ...] = (), dense: bool = False) -> Column:
+    """array<struct<m, start, g1, ...>>: each match, its first character and the wanted groups.
+
+    dense: for texts of many thousands of matches, in time linear in them; a larger expression, which plans of
+    many detectors over short texts need not carry.
+    """
     p = F.lit(pattern)
     names = ["m", *(f"g{g}" for g in groups)]
-    found = F.struct(F.split(text, pattern, -1).alias("gaps"), *(F.regexp_extract_all(text, p, g).alias(n) for n, g in zip(names, (0, *groups), strict=True)))
+    found = [F.regexp_extract_all(text, p, g).alias(n) for n, g in zip(names, (0, *groups), strict=True)]
+    gaps = F.split(text, pattern, -1)
+    row = lambda x, start: F.struct(x["m"].alias("m"), start.alias("start"), *(x[n].alias(n) for n in names[1:]))
 
     def placed(x: Column) -> Column:
-        gaps = F.slice(x["gaps"], F.lit(1), F.size(x["m"]))  # the last gap has no match after it
-        before = running(F.zip_with(gaps, x["m"], lambda g, m: F.length(g) + F.length(m)))
-        start = F.zip_with(before, gaps, lambda at, g: at + F.length(g))
-        rows = F.arrays_zip(*(x[n].alias(n) for n in names), start.alias("start"))
-        return F.transform(rows, lambda r: F.struct(r["m"].alias("m"), r["start"].alias("start"), *(r[n].alias(n) for n in names[1:])))
-
-    return F.when(text.isNotNull(), let(found, placed))
+        own = F.slice(x["gaps"], F.lit(1), F.size(x["m"]))  # the last gap has no match after it
+        before = running(F.zip_with(own, x["m"], lambda g, m: F.length(g) + F.length(m)))
+        start = F.zip_with(before, own, lambda at, g: at + F.length(g))
+        return F.transform(F.arrays_zip(*(x[n].alias(n) for n in names), start.alias("start")), lambda r: row(r, r["start"]))
+
+    if dense:
+        return let(F.struct(gaps.alias("gaps"), *found), placed)
+    kind = "struct<m:string,start:int" + "".join(f",{n}:string" for n in names[1:]) + ">"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.length(x["gap"])
+        more = x["m"].isNotNull()
+        return F.struct(F.when(more, at + F.length(x["m"])).otherwise(at).alias("at"), F.when(more, F.concat(acc["out"], F.array(row(x, at)))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(F.arrays_zip(*found, gaps.alias("gap")), begin, step, lambda acc: acc["out"])
 
 
 def replace_matches(text: Column, pattern: str, how: Callable[[Column], Column]) -> Column:

@@ -13,10 +13,10 @@ from ..kinds import CONFIDENCE, MEDIUM
 from ..sources.sections import sections
 
 
-def residual_hits(text: Column, context: str = "none") -> Column:
+def residual_hits(text: Column, context: str = "none", dense: bool = False) -> Column:
     """Hits of Medium confidence or more; context 'section' scans each section with its name."""
     if context == "none":
-        return detect.residual(detect.Context(text))
+        return detect.residual(detect.Context(text, dense=dense))
     each = F.transform(sections(text), lambda s: detect.scan(detect.Context(s["body"], s["name"])))
     return F.filter(F.flatten(each), lambda h: h["confidence"] >= MEDIUM)
 
@@ -27,14 +27,14 @@ def outside_tokens(hits: Column, text: Column) -> Column:
     return F.filter(hits, lambda h: ~F.exists(tokens, lambda t: (h["start"] >= t["start"]) & (h["end"] <= t["start"] + F.length(t["m"]))))
 
 
-def findings(rewritten: DataFrame, mapping: DataFrame, kept: DataFrame, keys: tuple[str, ...] = ("archive_id",), context: str = "none") -> DataFrame:
+def findings(rewritten: DataFrame, mapping: DataFrame, kept: DataFrame, keys: tuple[str, ...] = ("archive_id",), context: str = "none", dense: bool = False) -> DataFrame:
     """findings(keys, member, kind, confidence, snippet_len) of rewritten(keys, member, handler, text).
 
     Not counted: replacements of the run, values with a pseudonym's shape, kinds whose entities are
     kept(keys, kind, canonical), values inside sealed tokens, image identifiers of crash reports.
     """
     text = F.col("text")
-    hits = rewritten.select(*keys, "member", "handler", F.explode(outside_tokens(residual_hits(text, context), text)).alias("h")).select(*keys, "member", "handler", "h.kind", "h.value", "h.canonical", "h.confidence")
+    hits = rewritten.select(*keys, "member", "handler", F.explode(outside_tokens(residual_hits(text, context, dense), text)).alias("h")).select(*keys, "member", "handler", "h.kind", "h.value", "h.canonical", "h.confidence")
     hits = hits.where(~has_known_shape(F.col("value")) & ~((F.col("handler") == "ips") & F.col("kind").isin("uuid", "container_uuid")))
     made = mapping.where("replacement is not null").select(*keys, F.explode(F.array("replacement", F.lower("replacement"), F.upper("replacement"))).alias("value")).distinct()
     left = hits.join(made, [*keys, "value"], "left_anti").join(kept.select(*keys, "kind", "canonical").distinct(), [*keys, "kind", "canonical"], "left_anti")

@@ -37,10 +37,13 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_runs  # noqa: F401  adds its own
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -312,24 +315,33 @@ def entity_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
     return found.select("kind", "canonical", pseudonym.email(F.col("canonical"), KEY.tag(F.col("kind"), F.col("canonical"))).alias("replacement"))
 
 
-def _policy_sql(profile: str, options: Options | None = None) -> str:
-    p = effective(options or Options(profile=profile))
-    cases = " ".join(f"when '{k}' then '{p.action(k)}'" for k in pseudonym.GENERATORS)
-    return f"with {_S}, {_ALL_HITS} select kind, action, count(*) as entities, sum(occurrences)::bigint as occurrences from (select kind, canonical, count(*) as occurrences, case kind {cases} end as action from h group by kind, canonical) group by kind, action"
+_ALL_KEPT = "kind in ('ipv4_private', 'timestamp')"
+#: what each kind's action has to be, told apart from the policies' own files
+_ACTIONS = {
+    "strict": f"case when {_ALL_KEPT} then 'keep' when kind in ('url', 'gps_coordinate', 'cell_id', 'carrier') then 'drop' else 'pseudo' end",
+    "balanced": f"case when {_ALL_KEPT} or kind in ('package_name', 'carrier') then 'keep' when kind in ('gps_coordinate', 'cell_id') then 'drop' else 'pseudo' end",
+    "research": f"case when {_ALL_KEPT} or kind in ('package_name', 'carrier', 'gps_coordinate', 'cell_id') then 'keep' else 'pseudo' end",
+    "only network and package": "case when kind in ('mac_address', 'bssid', 'ssid', 'bluetooth_name', 'ipv4_public', 'ipv6', 'domain_name', 'url', 'package_name') then 'pseudo' else 'keep' end",
+    "accounts, location, imei": "case when kind in ('email', 'user_name', 'person_name', 'organization_name', 'imei') then 'pseudo' when kind in ('gps_coordinate', 'cell_id') then 'drop' else 'keep' end",
+}
+
+
+def _policy_sql(actions: str) -> str:
+    return f"with {_S}, {_ALL_HITS} select kind, action, count(*) as entities, sum(occurrences)::bigint as occurrences from (select kind, canonical, count(*) as occurrences, {_ACTIONS[actions]} as action from h group by kind, canonical) group by kind, action"
 
 
-def _policy(name: str, options: Options) -> None:
+def _policy(name: str, options: Options, actions: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = entities.roll_up(_dump_hits(spark, d), order=("id", "chunk_no", "start"))
         return entities.resolve(rows, effective(options), options).groupBy("kind", "action").agg(F.count("*").alias("entities"), F.sum("occurrences").alias("occurrences"))
 
-    query(_policy_sql(options.profile, options), name)(run)
+    query(_policy_sql(actions), name)(run)
 
 
 for _p in ("strict", "balanced", "research"):
-    _policy(f"policy_actions_{_p}", Options(profile=_p))
-_policy("policy_only_group", Options(only="network, package"))
-_policy("policy_override", Options(only="accounts", entity=("location=drop", "imei=pseudo")))
+    _policy(f"policy_actions_{_p}", Options(profile=_p), _p)
+_policy("policy_only_group", Options(only="network, package"), "only network and package")
+_policy("policy_override", Options(only="accounts", entity=("location=drop", "imei=pseudo")), "accounts, location, imei")
 
 
 @query(f"select canonical, case when {_PRIVATE.replace('v,', 'canonical,')} then 'ipv4_private' else 'ipv4_public' end as kind, 'keep' as action, ({_PRIVATE.replace('v,', 'canonical,')}) = false as low from (select distinct v as canonical from {_IPS})")

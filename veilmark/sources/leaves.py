@@ -261,5 +261,11 @@ def protobuf_rewritten(content: bytes, rewrite: Rewrite) -> bytes:
     return out
 
 
-VALUES = {"plist": plist_values, "sqlite": sqlite_values, "protobuf": protobuf_values}
-REWRITES = {"plist": plist_rewritten, "sqlite": sqlite_rewritten, "protobuf": protobuf_rewritten}
+Values = Callable[[bytes], Iterator[tuple[str, str]]]
+VALUES: dict[str, Values] = {"plist": plist_values, "sqlite": sqlite_values, "protobuf": protobuf_values}
+REWRITES: dict[str, Callable[[bytes, Rewrite], bytes]] = {"plist": plist_rewritten, "sqlite": sqlite_rewritten, "protobuf": protobuf_rewritten}
+
+
+def register(name: str, values: Values, rewritten: Callable[[bytes, Rewrite], bytes]) -> None:
+    """A format of one's own; operators.members.register tells which members have it."""
+    VALUES[name], REWRITES[name] = values, rewritten
