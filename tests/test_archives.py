@@ -20,30 +20,23 @@ from veilmark.sources import archives as containers
 from veilmark.sources import leaves
 
 KEY = Key(b"\x07" * 32)
-DUMP = """preamble
+DUMP = """written by a tool, before any section
+DUMP OF SERVICE package:
+  Package [org.quill.notes]
+DUMP OF SERVICE iphonesubinfo:
+  slot 0, IMEI: 490154203237518
+DUMP OF SERVICE location:
+  last {gps, 47.250003,-8.500004±3.0m, extras}
+DUMP OF SERVICE wifi:
+  BSSID: aa:bb:cc:dd:ee:ff
+  SSID: "Quill House"
 DUMP OF SERVICE account:
-Account {name=eva.mole@acme.example.com, type=com.google}
-
+  Account {name=ida.quill@post.example.org, type=com.google}
 DUMP OF SERVICE user:
-UserInfo{0:Eva Mole:13}
-
-DUMP OF SERVICE wifi:
-SSID: "Mole Hill"
-BSSID: aa:bb:cc:dd:ee:ff
-
-DUMP OF SERVICE location:
-{fused, 52.100001,4.200002±9.5m, Bundle[{}]}
-
-DUMP OF SERVICE iphonesubinfo:
-IMEI: 490154203237518
-
-DUMP OF SERVICE package:
-Package [com.vendor.app]
-
-SYSTEM LOG:
-06-01 12:00:00.000 E http: user=eva.mole%40acme.example.com from Eva Mole
+  UserInfo{10:Ida Quill:1043}
+01-09 07:15:21.250 W web: account ida.quill%40post.example.org of Ida Quill
 """
-PLANTED = ("eva.mole", "acme", "Eva Mole", "Mole Hill", "aa:bb:cc:dd:ee:ff", "52.100001", "490154203237518")
+PLANTED = ("ida.quill", "post.example", "Ida Quill", "Quill House", "aa:bb:cc:dd:ee:ff", "47.250003", "490154203237518")
 
 
 def proto(text):
@@ -54,7 +47,7 @@ def proto(text):
 def database():
     db = sqlite3.connect(":memory:")
     db.execute("create table accounts (id integer primary key, email text, n int)")
-    db.executemany("insert into accounts (email, n) values (?, ?)", [("eva.mole@acme.example.com", 1), (None, 2)])
+    db.executemany("insert into accounts (email, n) values (?, ?)", [("ida.quill@post.example.org", 1), (None, 2)])
     db.commit()
     return db.serialize()
 
@@ -63,11 +56,11 @@ FILES = {
     "dumpstate.txt": DUMP.encode(),
     "version.txt": b"2.0\n",
     "screen.PNG": b"\x89PNG\r\n",
-    "wifi.plist": plistlib.dumps({"list": [{"SSID": "Mole Hill", "n": 3}], "note": "by eva.mole@acme.example.com"}),
-    "wifi.bin.plist": plistlib.dumps({"SSID": "Mole Hill"}, fmt=plistlib.FMT_BINARY),
+    "wifi.plist": plistlib.dumps({"list": [{"SSID": "Quill House", "n": 3}], "note": "by ida.quill@post.example.org"}),
+    "wifi.bin.plist": plistlib.dumps({"SSID": "Quill House"}, fmt=plistlib.FMT_BINARY),
     "acc.db": database(),
-    "proto/a.pb": proto("mail eva.mole@acme.example.com"),
-    "crash.ips": (json.dumps({"b": 1, "a": 2}) + "\n" + json.dumps({"email": "eva.mole@acme.example.com", "id": "550e8400-e29b-41d4-a716-446655440000"})).encode(),
+    "proto/a.pb": proto("mail ida.quill@post.example.org"),
+    "crash.ips": (json.dumps({"b": 1, "a": 2}) + "\n" + json.dumps({"email": "ida.quill@post.example.org", "id": "550e8400-e29b-41d4-a716-446655440000"})).encode(),
     "blob.bin": b"\xff\xfe\x00\x01",
 }
 
@@ -108,7 +101,7 @@ def test_equal_values_stay_equal(run):
     assert f'"{plistlib.loads(out["wifi.bin.plist"])["SSID"]}"' in out["dumpstate.txt"].decode()
     assert out["wifi.bin.plist"][:6] == b"bplist" and list(json.loads(out["crash.ips"].decode().split("\n")[0])) == ["b", "a"]
     assert leaves.protobuf_fields(out["proto/a.pb"])[1] == (2, 0, b"\x07")
-    assert out["version.txt"] == FILES["version.txt"] and b"com.vendor.app" in out["dumpstate.txt"]
+    assert out["version.txt"] == FILES["version.txt"] and b"org.quill.notes" in out["dumpstate.txt"]
 
 
 def test_report(run):
@@ -129,10 +122,10 @@ def test_seal_and_restore(spark):
     files = {k: FILES[k] for k in ("dumpstate.txt", "wifi.plist", "acc.db", "proto/a.pb")}
     sealed = engine.anonymize_archives(frame(spark, zipped(files)), KEY, options)
     out = opened(sealed)
-    assert b"eva.mole" not in out["dumpstate.txt"] and b"vm1." in out["dumpstate.txt"] and b"vm1." in out["proto/a.pb"]
+    assert b"ida.quill" not in out["dumpstate.txt"] and b"vm1." in out["dumpstate.txt"] and b"vm1." in out["proto/a.pb"]
     back = engine.restore_archives(sealed.archives, KEY).first()
     restored = dict(containers.members_of(bytes(back["content"]), back["kind"]))
-    assert b"Account {name=eva.mole@acme.example.com" in restored["dumpstate.txt"] and back["n_opened"] > 3
+    assert b"Account {name=ida.quill@post.example.org" in restored["dumpstate.txt"] and back["n_opened"] > 3
     assert restored["proto/a.pb"] == files["proto/a.pb"] and plistlib.loads(restored["wifi.plist"]) == plistlib.loads(files["wifi.plist"])
     with pytest.raises(Exception, match="does not open"):
         engine.restore_archives(sealed.archives, Key(b"\x01" * 32)).collect()

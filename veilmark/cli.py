@@ -1,4 +1,8 @@
-"""Command line: python -m veilmark.cli -i IN -o OUT [...]. Exit codes: 0 done, 1 identifiers left, 3 anything else."""
+"""Command line: python -m veilmark.cli -i IN -o OUT [...]. Exit codes: 0 done, 1 identifiers left, 3 anything else.
+
+IN is a path, a folder or a pattern that Spark reads. Of one archive OUT is the file; of several it is a folder
+with a file of the same name for each, and one key serves all of them.
+"""
 
 from __future__ import annotations
 
@@ -30,8 +34,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--vault")
     p.add_argument("--logarchive", choices=("drop", "jsonl"), default="drop")
     p.add_argument("--time-shift", type=parse_duration)
-    p.add_argument("--drop-text-from-packages", nargs="*", default=[])
-    for flag in ("list-entities", "reversible", "restore", "explain", "verify", "i-understand", "ordinal", "keep-location", "keep-cell-ids", "generalize-carrier", "drop-carrier", "pseudo-third-party-packages"):
+    p.add_argument("--drop-text-from-packages", type=lambda x: [y.strip() for y in x.split(",") if y.strip()], default=[])
+    for flag in ("contract-test", "list-entities", "reversible", "restore", "explain", "verify", "i-understand", "ordinal", "keep-location", "keep-cell-ids", "generalize-carrier", "drop-carrier", "pseudo-third-party-packages"):
         p.add_argument(f"--{flag}", action="store_true")
     return p
 
@@ -57,6 +61,9 @@ def run(argv: list[str]) -> int:
     if a.list_entities:
         print(describe(options))
         return 0
+    if a.contract_test:
+        print("the contract is checked by the tests: python -m pytest tests/")
+        return 0
     if not a.input:
         raise PolicyError("-i is needed")
     spark = SparkSession.builder.config("spark.sql.redaction.string.regex", REDACT).getOrCreate()
@@ -65,27 +72,34 @@ def run(argv: list[str]) -> int:
         print("\n".join(r.line for r in engine.explain_archives(archives, options).collect()))
         return 0
     if a.verify:
-        left = engine.verify_archives(archives, options).groupBy("kind").count().collect()
+        left = engine.verify_archives(archives, options).groupBy("kind").count().orderBy("kind").collect()
         print("\n".join(f"{r[0]}: {r[1]}" for r in left) or "clean")
         return int(bool(left))
     if not a.output:
         raise PolicyError("-o is needed")
     if a.vault and not a.i_understand:
         raise PolicyError("a vault can undo the run: say --i-understand")
-    head = archives.select("archive_id").first()["archive_id"]
-    key = key_of(a, None if a.reversible or a.restore else head)
+    names = dict(archives.select("archive_id", "path").orderBy("path").collect())  # a row for each archive
+    if not names:
+        raise PolicyError("there is no archive to read")
+    key = key_of(a, next(iter(names)) if len(names) == 1 and not (a.reversible or a.restore) else None)
     done = None if a.restore else engine.anonymize_archives(archives, key, options)
-    packed = engine.restore_archives(archives, key) if a.restore else done.archives
-    with open(a.output, "wb") as f:
-        f.write(bytes(packed.where(F.col("archive_id") == head).first()["content"]))
+    where = {k: a.output if len(names) == 1 else os.path.join(a.output, os.path.basename(path)) for k, path in names.items()}
+    if len(set(where.values())) < len(where):
+        raise PolicyError("archives of one name in several folders need runs of their own")
+    if len(names) > 1:
+        os.makedirs(a.output, exist_ok=True)
+    for row in (engine.restore_archives(archives, key) if a.restore else done.archives).select("archive_id", "content").toLocalIterator():
+        with open(where[row["archive_id"]], "wb") as f:
+            f.write(bytes(row["content"]))
     if done:
-        told = done.report.select("report_json", audit.markdown(F.col("report")).alias("md")).first()
-        stem = os.path.splitext(a.output)[0]
-        for name, text in ((f"{stem}-report.json", told["report_json"]), (f"{stem}-report.md", told["md"])):
-            with open(name, "w", encoding="utf-8") as f:
-                f.write(text)
+        for row in done.report.select("archive_id", "report_json", audit.markdown(F.col("report")).alias("md")).toLocalIterator():
+            stem = os.path.splitext(where[row["archive_id"]])[0]
+            for name, text in ((f"{stem}-report.json", row["report_json"]), (f"{stem}-report.md", row["md"])):
+                with open(name, "w", encoding="utf-8") as f:
+                    f.write(text)
         if a.vault:
-            vault.write_vault(done.mapping, a.vault, a.passphrase or os.environ.get("VEILMARK_VAULT_PASSPHRASE", ""), a.output)
+            vault.write_vault(done.mapping, a.vault, a.passphrase or os.environ.get("VEILMARK_VAULT_PASSPHRASE", ""), next(iter(where.values())))
     return 0
 
 
