@@ -224,6 +224,31 @@ def test_bloom_filter_has_no_false_negatives():
         assert (f(grams[k]) >> np.uint8(i) & np.uint8(1)).all()
 
 
+def test_more_languages_than_a_mask_holds(monkeypatch):
+    rng = random.Random(41)
+    own = {f"l{i:02}": [chr(0x4E00 + 40 * i + k) for k in range(12)] for i in range(70)}
+    texts = {k: " ".join("".join(rng.choices(v, k=4)) for _ in range(40)) for k, v in own.items()}
+    grams = {k: np.unique(np.concatenate([h for h, _ in op2_language.ngrams([t])])) for k, t in texts.items()}
+    langs = sorted(grams)
+    filters = op2_language.all_filters(langs, grams)
+    assert [len(f.langs) for f in filters] == [64, 6]
+    counts = np.hstack([f.counts([texts[k] for k in langs]) for f in filters])
+    assert counts.shape == (70, 70) and (counts.argmax(axis=1) == np.arange(70)).all()
+
+
+def test_scores_against_a_plain_count():
+    """Popcounts of a text by looking up every n-gram by itself."""
+    rng = random.Random(42)
+    learned = {k: np.unique(np.concatenate([h for h, _ in op2_language.ngrams([prose(200, k, rng)])])) for k in ("de", "en")}
+    f = op2_language.Filters(["de", "en"], learned)
+    texts = [prose(rng.randint(0, 30), rng.choice(["de", "en"]), rng) for _ in range(20)] + ["", "1 2", "ß"]
+    got = f.counts(texts)
+    for t, row in zip(texts, got, strict=True):
+        hashes = [x for h, _ in op2_language.ngrams([t]) for x in h]
+        found = np.array([[int(f(np.array([x], np.uint64))[0]) >> i & 1 for i in range(2)] for x in hashes]).reshape(-1, 2).sum(axis=0)
+        assert np.allclose(row, np.maximum(0, (found - len(hashes) * f.chance) / (1 - f.chance)))
+
+
 # ---- op3
 
 
@@ -632,6 +657,8 @@ def test_byte_bpe_equals_tiktoken(docs):
     for t in texts:
         assert bpe.encode(t) == plain.encode_ordinary(t) and bpe.decode(bpe.encode(t)) == t.encode(), repr(t)
     got = op10_bpe.encode_documents(docs, path, pattern, full=True).collect()
+    ids = lambda t: ",".join(map(str, plain.encode_ordinary(t or "")))
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in got) == Counter((d, len(plain.encode_ordinary(t or "")), hashlib.sha256(ids(t).encode()).hexdigest()) for d, t, *_ in ROWS)
     assert Counter((r["doc_id"], r["decoded_sha256"]) for r in got) == Counter((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t, *_ in ROWS)
     assert all(r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest() for r in got)
 
@@ -654,3 +681,38 @@ def test_pipeline(spark, docs, labels, benchmark, tmp_path):
     assert ids.count(0) == 1 and 60 not in ids and 61 not in ids and 10 not in ids and 64 not in ids and 20 in ids
     done = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r["doc_id"] for r in done) == Counter(ids)
+
+
+def test_stages_on_empty_tables_absent_labels_and_clashing_names(spark, docs, labels, benchmark):
+    names = docs.columns
+    none = docs.where("false")
+    clash = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(("TEXT", "Doc_ID", "row", "id", "noise", "c0"))))
+    stages = {
+        "quality": lambda d, lab, b: op9_resampling.resampled(d, lab),
+        "near_duplicates": lambda d, lab, b: op4_jaccard.representatives(d),
+        "decontamination": lambda d, lab, b: op3_decontamination.without_leaks(d, b),
+        "personal_data": lambda d, lab, b: op1_pii.redact(d),
+    }
+    for name, stage in stages.items():
+        assert stage(none, labels.where("false"), benchmark.where("false")).collect() == [], name
+        got = stage(clash, labels, benchmark)
+        assert got.columns == clash.columns, name
+        plain = stage(docs, labels, benchmark)
+        assert plain.columns == names
+        assert Counter(r[0] for r in got.collect()) == Counter(r[0] for r in plain.collect()), name
+    assert op9_resampling.resampled(docs, labels.where("false")).count() == docs.count()
+    blank = op4_jaccard.representatives(docs.unionByName(docs.where("doc_id in (69, 70, 71, 1)"))).collect()
+    assert Counter(r["doc_id"] for r in blank if r["doc_id"] in (69, 70, 71, 1)) == {69: 2, 70: 2, 71: 2, 1: 1}  # wordless rows all stay
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(51)
+    long = " ".join(rng.choices([f"w{i}" for i in range(3000)], k=260_000))
+    rows = [(1, long), (2, "x" + long[1:]), (3, "a" * 1_500_000), (4, "\n" * 1_000_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert len(long) > 1_000_000
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in op8_substrings.deduplicated(df).collect()) == plain_substrings(rows)
+    assert Counter(tuple(r) for r in op4_jaccard.jaccard_join(df).collect()) == plain_components(rows)
+    assert op2_language.identify(df).count() == op6_secrets.find_secrets(df).count() == op7_quality.quality_rules(df).count() == 4
+    decoded = {r["doc_id"]: r["decoded_sha256"] for r in op10_bpe.encode_documents(df.where("doc_id != 3"), *tokenizer()).collect()}
+    assert decoded == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in rows if d != 3}

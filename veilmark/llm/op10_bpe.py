@@ -12,7 +12,8 @@ cache has two generations of bounded size; what is found in the older moves to t
 whose characters all are in ranges where classes can stand for the properties in the pattern are
 split by Python's own engine, which gives the same matches sooner.
 
-Null and empty texts give no ids. Repeated rows give repeated rows; a null doc_id stays null.
+Null and empty texts give no ids. Repeated rows give repeated rows; a null doc_id stays null. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
-The table has SLOTS slots of one mask each, a bit for each language: together the bit slices are
+The table has SLOTS slots of one mask each, a bit for each language (beyond MASK languages there are
+several tables): together the bit slices are
 one Bloom filter for each language, and one lookup (HASHES slots, combined by AND) returns all
 languages that may contain an n-gram. Inserted are the n-grams of a language that make up LEAST
 of its n-grams and at least NEAR of the share that any language gives them. A text is scored by
@@ -11,7 +12,7 @@ is its part of all languages' corrected counts.
 Learned from text and lang of documents whose crc32(doc_id as text) mod 3 is not 1, about FIT of
 each language, chosen by a hash of doc_id; everything else sees all documents. Null or letterless
 text is `und` with score 0. Where nothing was learned every text is. Null doc_id counts as not
-held out and is not learned from. Repeated rows give repeated rows.
+held out and is not learned from. Repeated rows give repeated rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -128,20 +129,26 @@ class Filters:
         return np.maximum(0, (found - total[:, None] * self.chance) / (1 - self.chance))
 
 
+MASK = 64  # languages of one table of masks
+
+
+def all_filters(langs: list[str], grams: dict[str, np.ndarray]) -> list[Filters]:
+    """A table for every MASK languages, in order."""
+    return [Filters(langs[i : i + MASK], grams) for i in range(0, len(langs), MASK)]
+
+
 def identify(docs: DataFrame) -> DataFrame:
     docs = only(docs, "doc_id", "lang", "text")
     langs, grams = learn(docs)
-    if len(langs) > 64:
-        raise ValueError("a mask holds 64 languages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, letter = Filters(langs, grams) if langs else None, _is_letter()
+        filters = all_filters(langs, grams)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in blocks(texts):
                 pred, score, part = ["und"] * (b - a), np.zeros(b - a), batch.slice(a, b - a)
                 if filters:
-                    c = filters.counts(texts[a:b])
+                    c = np.hstack([f.counts(texts[a:b]) for f in filters])
                     best = c.argmax(axis=1)
                     score = c.max(axis=1) / np.maximum(c.sum(axis=1), 1e-9)
                     worded = [any(map(str.isalpha, t)) for t in texts[a:b]]

@@ -17,7 +17,8 @@ The benchmark is the index: its items are sent to all tasks, in blocks of no mor
 and MOST_CHARS (a longer item is a block of its own), each searched against all documents. A row for each document and item that it contains, with the best window (the
 first of equals). Null and empty texts contain nothing and null or empty items are contained in
 nothing. Items with equal ids or texts are items of their own. Repeated documents give repeated
-rows; a null doc_id stays null.
+rows; a null doc_id stays null. Repeated items give repeated rows, by item_id (null last). Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ widened by SPREAD times their distance and a slack, fails the document. The fenc
 the documents again.
 
 Null text counts as empty (it fails the base rules). Null lang or source is a value like any
-other. Repeated rows give repeated rows; a null doc_id stays null.
+other. Repeated rows give repeated rows; a null doc_id stays null. A ratio on its
+fence stays; ratios beyond the last bin count as that bin. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
