@@ -129,9 +129,10 @@ def detect_ipv4_scope(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy(F.when(F.col("kind") == "ipv4_private", F.lit("private")).otherwise(F.lit("public")).alias("scope")).agg(F.count("*").alias("n"))
 
 
-@query(f"select conv_id, turn, count(*) as n_emails from (select conv_id, turn, unnest(regexp_extract_all(text, '(?i)\\b[a-z0-9._%+\\-]+@[a-z0-9.\\-]+\\.[a-z]{{2,}}\\b')) as v from conversations) group by all")
+@query(f"select conv_id, turn, count(*) as n_emails from (select conv_id, turn, unnest(regexp_extract_all(text || ' by c' || conv_id || '.' || role || '@mail.example.com', '(?i)\\b[a-z0-9._%+\\-]+@[a-z0-9.\\-]+\\.[a-z]{{2,}}\\b')) as v from conversations) group by all")
 def detect_email_conversations(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.explode(detect.email(_plain())).alias("h"))
+    signed = F.concat(F.col("text"), F.lit(" by c"), F.col("conv_id").cast("string"), F.lit("."), F.col("role"), F.lit("@mail.example.com"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.explode(detect.email(detect.Context(signed))).alias("h"))
     return rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n_emails"))
 
 
