@@ -31,6 +31,7 @@ def pseudonymize_column(text: Column, key: Key, options: Options | None = None,
     options = options or Options()
     profile = effective(options)
     actions = F.create_map(*(F.lit(x) for k in pseudonym.GENERATORS for x in (k, profile.action(k))))
+    changed = tuple(k for k in pseudonym.GENERATORS if profile.action(k) not in ("keep", "shift", "drop"))
     hits = F.filter(encodings.scan_views(text, section), lambda h: (h["confidence"] >= profile.least_confidence) & ~F.try_element_at(actions, h["kind"]).isin("keep", "shift"))
 
     def pair(h: Column) -> Column:
@@ -38,7 +39,7 @@ def pseudonymize_column(text: Column, key: Key, options: Options | None = None,
         if options.mode == "encrypt":
             made = seal.seal(h["canonical"], key)
         else:
-            made = F.when(F.try_element_at(actions, h["kind"]) == "drop", pseudonym.dropped(h["kind"], h["canonical"], tag)).otherwise(pseudonym.pseudonym(h["kind"], h["canonical"], tag))
+            made = F.when(F.try_element_at(actions, h["kind"]) == "drop", pseudonym.dropped(h["kind"], h["canonical"], tag)).otherwise(pseudonym.pseudonym(h["kind"], h["canonical"], tag, changed))
         return F.struct(h["value"].alias("surface"), mapping.encoded_like(h["value"], h["canonical"], made).alias("replacement"))
 
     pairs = F.filter(F.array_distinct(F.transform(hits, pair)), lambda p: p["replacement"].isNotNull())

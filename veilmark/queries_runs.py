@@ -287,14 +287,14 @@ def streaming_emails(spark: SparkSession, d: str) -> DataFrame:
     return rewrite_stream(spark, f"{d}/documents.parquet", "doc_id", "text", KEY, _ONLY_MAIL)
 
 
-@query("""select w as start, 'email' as kind, 'u' || user_id || '@corp.example.com' as canonical, count(*) as occurrences, 0 as confidence from
+@query("""select strftime(w, '%Y-%m-%d %H:%M:%S') as start, 'email' as kind, 'u' || user_id || '@corp.example.com' as canonical, count(*) as occurrences, 0 as confidence from
  (select *, time_bucket(interval 1 hour, ts) as w from events) where w + interval 1 hour <= (select max(ts) from events) - interval 10 minute group by all""")
 def streaming_entities(spark: SparkSession, d: str) -> DataFrame:
     """The registry of entities by hour, windows closed by the watermark."""
     from .streaming.rewrite import registry_stream
 
     text = F.concat(F.lit("by u"), F.col("user_id").cast("string"), F.lit("@corp.example.com"))
-    return registry_stream(spark, f"{d}/events.parquet", text, "ts").select("start", "kind", "canonical", "occurrences", "confidence")
+    return registry_stream(spark, f"{d}/events.parquet", text, "ts").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "kind", "canonical", "occurrences", "confidence")
 
 
 @query("select 'entities' as name, count(*) as n from customer union all select 'mapping', count(*) from customer union all select 'rewritten', count(*) from customer")
@@ -461,7 +461,7 @@ def percent_encoding(spark: SparkSession, d: str) -> DataFrame:
 def known_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Every pseudonym of the kinds that the gate spares has a known shape; originals have none."""
     kinds = ("email", "mac_address", "ssid", "ipv4_public", "user_name", "package_name")
-    made = [pseudonym.has_known_shape(pseudonym.pseudonym(F.lit(k), F.col("c_name"), KEY.tag(F.lit(k), F.col("c_name")))) for k in kinds]
+    made = [pseudonym.has_known_shape(pseudonym.GENERATORS[k](F.col("c_name"), KEY.tag(F.lit(k), F.col("c_name")))) for k in kinds]
     every = made[0]
     for m in made[1:]:
         every &= m
