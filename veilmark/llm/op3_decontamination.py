@@ -40,6 +40,7 @@ RADIUS = 20
 BLOCKS = 8
 MOST_ITEMS = 200_000
 MOST_CHARS = 100_000_000
+AT_ONCE = 100_000  # pairs of fingerprints that are compared at a time
 SCHEMA = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, hamming int, similarity double"
 
 
@@ -121,23 +122,29 @@ class Index:
         out[at] = self.known[k] == h[at] if len(self.known) else False
         return out
 
-    def near(self, n: int, fingerprint: int) -> np.ndarray:
-        """Items of n words that have a block near enough, and among them those within RADIUS."""
-        far = _BITS[self.prints[n] ^ np.frombuffer(int(fingerprint).to_bytes(8, "little"), np.uint8)]
-        at = np.flatnonzero((far <= RADIUS // BLOCKS).any(axis=1))
-        return at[far[at].sum(axis=1) <= RADIUS]
+    def near(self, n: int, prints: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Of fingerprints and the items of n words: places of those that have a block near enough and are within RADIUS."""
+        group = self.prints[n]
+        many = max(1, AT_ONCE // len(group))
+        for a in range(0, len(prints), many):
+            far = _BITS[prints[a : a + many].view(np.uint8).reshape(-1, 1, BLOCKS) ^ group]
+            found = (far <= RADIUS // BLOCKS).any(axis=2) & (far.sum(axis=2) <= RADIUS)
+            for i, j in zip(*(x.tolist() for x in np.nonzero(found)), strict=True):
+                yield a + i, j
 
     def _search(self, n: int, starts: np.ndarray, h: np.ndarray, w: np.ndarray) -> Iterator[tuple[Item, int, int, float]]:
         """Of windows of n words at starts, with the text's shingles: item, start, Hamming distance, similarity."""
+        if not len(starts):
+            return
         count = n - min(N, n) + 1
         prints = simhash(h, w, starts, count)
-        for s, p in zip(starts.tolist(), prints.tolist(), strict=True):
-            own = None
-            for i in self.near(n, p).tolist():
-                item = self.by_length[n][i]
-                own = own or by_shingle(h[s : s + count], w[s : s + count])
-                if (x := similarity(own, (item.sorted, item.sorted_weights))) >= LEAST:
-                    yield item, s, (p ^ int(item.print)).bit_count(), x
+        last, own = -1, None
+        for i, j in self.near(n, prints):
+            item, s = self.by_length[n][j], int(starts[i])
+            if i != last:
+                last, own = i, by_shingle(h[s : s + count], w[s : s + count])
+            if (x := similarity(own, (item.sorted, item.sorted_weights))) >= LEAST:
+                yield item, s, (int(prints[i]) ^ int(item.print)).bit_count(), x
 
     def _windows(self, n: int, h: np.ndarray, w: np.ndarray, known: np.ndarray) -> np.ndarray:
         count = n - min(N, n) + 1
