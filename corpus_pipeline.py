@@ -4,6 +4,13 @@ run() writes each stage's result as Parquet under spark.checkpoint.dir and reads
 lost executor repeats work of one stage at most. All stages but the last return the columns of
 documents. ORACLE_SQL is None: the quality classifier and the tagger are not SQL; the tests hold
 each stage against a plain version.
+
+Null and empty texts: quality judges them by weight 0, near_duplicates and decontamination keep them, personal_data
+leaves null null, tokens gives no ids. A null doc_id is kept as such; in near_duplicates it represents a group only where
+nothing else is in it. Repeated rows are decided alike by quality; of linked ones near_duplicates keeps one. Ties: quality
+keeps all at the cut, near_duplicates takes the least doc_id, then the text with the least hash. Empty tables give empty
+tables; without labels of both kinds quality keeps everything, without items decontamination does. Further columns, whatever
+their names, pass through all stages but the last, which returns doc_id, the ids and their digests.
 """
 
 from __future__ import annotations
