@@ -192,3 +192,25 @@ def test_read_archives_from_files(spark, tmp_path):
     (tmp_path / "a.zip").write_bytes(zipped({"version.txt": b"1"}))
     row = containers.read_archives(spark, str(tmp_path / "a.zip")).first()
     assert row["kind"] == "android" and zipfile.is_zipfile(io.BytesIO(bytes(row["content"])))
+
+
+def test_members_meet_their_surfaces_in_shares(spark, monkeypatch):
+    """Many members with many surfaces: each member's own address and that of the one before, in text, a crash report and a plist."""
+    monkeypatch.setattr(engine, "SHARE", 4000)
+    name = lambda i: f"person{i}@corp{i % 7}.example.com"
+    files = {f"logs/c{i}.txt": f"mail {name(i)} and {name(max(i - 1, 0))}\n".encode() for i in range(300)}
+    files["crash.ips"] = f"pid 1\nmemory near r0:\n    0000 {name(7)}\nend".encode()
+    files["a.plist"] = plistlib.dumps({"email": name(8)})
+    done = engine.anonymize_archives(frame(spark, zipped(files)), KEY, Options(profile="strict"))
+    made = {r["canonical"]: r["replacement"] for r in done.mapping.collect()}
+    got = opened(done)
+    assert len(made) == 300 and list(got) == list(files)
+    assert all(got[f"logs/c{i}.txt"].decode() == f"mail {made[name(i)]} and {made[name(max(i - 1, 0))]}\n" for i in range(300))
+    assert got["crash.ips"].decode() == f"pid 1\n{leaves.DUMP_NOTE}\nend" and plistlib.loads(got["a.plist"]) == {"email": made[name(8)]}
+
+
+def test_surfaces_are_not_joined_to_each_member(spark):
+    rows = spark.range(500).select(F.lit("a").alias("archive_id"), F.concat(F.lit("m"), "id").alias("member"), F.lit("text").alias("handler"), F.concat(F.lit("see <"), "id", F.lit(">")).cast("binary").alias("content"))
+    surfaces = spark.range(500).select(F.lit("a").alias("archive_id"), F.concat(F.lit("<"), "id", F.lit(">")).alias("surface"), F.concat(F.lit("n"), "id").alias("replacement"))
+    new = engine.rewrite_members(rows, surfaces, Options())
+    assert {(r["member"], bytes(r["content"]).decode()) for r in new.collect()} == {(f"m{i}", f"see n{i}") for i in range(500)} and new.columns == rows.columns

@@ -154,33 +154,64 @@ def archive_hits(parts: DataFrame) -> DataFrame:
     return out.where((F.col("handler") != "ips") | F.col("kind").isin(*IPS_KINDS))
 
 
-def rewrite_members(rows: DataFrame, options: Options) -> DataFrame:
-    """Members(… content, handler, pairs, hidden, gps_dropped) with their content rewritten."""
-    few = F.coalesce(F.size("pairs"), F.lit(0)) < rewrite.MANY
+#: bytes of an archive's members that one task rewrites, about
+SHARE = 32_000_000
+
+
+def rewrite_members(rows: DataFrame, surfaces: DataFrame, options: Options, gps_dropped: bool = False, hidden: DataFrame | None = None) -> DataFrame:
+    """Members(archive_id, member, handler, content, …) with their content rewritten.
+
+    surfaces(archive_id, surface, replacement), hidden(archive_id, surface): values that memory dumps must not hold besides.
+    The members of an archive are dealt out in shares, and its surfaces come once to each share, longest first and before the
+    members. So they are made ready once for many members, not joined to each.
+    """
+    columns = rows.columns
+    text = F.col("handler") == "text"
+    sizes = rows.groupBy("archive_id").agg((F.floor(F.sum(F.octet_length("content")) / SHARE) + 1).cast("int").alias("shares"))
+    large = F.broadcast(sizes.where("shares > 1"))  # a row for each SHARE of the input at most
+    shares = F.coalesce("shares", F.lit(1))
     content = F.col("content").cast("string")
-    text = F.when(F.col("handler") == "text", rewrite.rewrite_text(content, F.col("pairs"), options, F.col("gps_dropped")).cast("binary")).otherwise(F.col("content"))
-    plain = rows.where((F.col("handler").isNull() | (F.col("handler") == "text") & few)).withColumn("content", text)
-    full = rows.where((F.col("handler") == "text") & ~few).withColumn("content", rewrite.before_surfaces(content, options, F.col("gps_dropped")).cast("binary"))
+    before = F.when(text, rewrite.before_surfaces(content, options, gps_dropped).cast("binary")).otherwise(F.col("content"))
+    known = rows.where(F.col("handler").isNotNull()).withColumn("content", before).join(large, "archive_id", "left")
+    known = known.select("archive_id", F.pmod(F.xxhash64("member"), shares).cast("int").alias("share"), F.lit(1).alias("place"), F.lit(None).cast("string").alias("surface"), F.lit(None).cast("string").alias("replacement"), *(c for c in columns if c != "archive_id"))
+    given = surfaces.select("archive_id", "surface", "replacement")
+    if hidden is not None:
+        given = given.unionByName(hidden.select("archive_id", "surface", F.lit(None).cast("string").alias("replacement")))
+    empty = {"boolean": F.lit(False), "int": F.lit(0), "bigint": F.lit(0)}  # no nulls, which pandas would turn into floats
+    given = given.join(large, "archive_id", "left").select("archive_id", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.lit(0).alias("place"), "surface", "replacement", *(empty.get(t, F.lit(None)).cast(t).alias(c) for c, t in rows.dtypes if c != "archive_id"))
+    every = known.unionByName(given).repartition("archive_id", "share")
+    every = every.sortWithinPartitions("archive_id", "share", "place", F.desc(F.octet_length("surface")), "surface")
 
     formats = dict(leaves.REWRITES)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        share, table, names, change, holds = None, [], [], None, None
         for frame in frames:
             out = []
-            for h, c, pairs, hidden in zip(frame["handler"], frame["content"], frame["pairs"], frame["hidden"], strict=True):
-                table = [(p["surface"], p["replacement"]) for p in (pairs if pairs is not None else ())]
-                change = rewrite.replacer(table)
+            for a, n, place, surface, made, h, c in zip(*(frame[x] for x in ("archive_id", "share", "place", "surface", "replacement", "handler", "content")), strict=True):
+                if share != (a, n):
+                    share, table, names, change, holds = (a, n), [], [], None, None
+                if not place:
+                    names.append(surface)
+                    if made is not None:
+                        table.append((surface, made))
+                    continue
+                change = change or rewrite.replacer(table)
                 if h == "text":
-                    out.append(change(bytes(c).decode()).encode())
+                    old = bytes(c).decode()
+                    new = (change(old) if len(table) >= rewrite.MANY else rewrite.in_turn(old, table)).encode()
                 elif h == "ips":
-                    out.append(leaves.ips_rewritten(bytes(c).decode(), change, (*(s for s, _ in table), *(hidden if hidden is not None else ()))).encode())
+                    holds = holds or rewrite.finder(names)
+                    new = leaves.ips_rewritten(bytes(c).decode(), change, holds).encode()
                 else:
-                    out.append(formats[h](bytes(c), change))
-            yield frame.assign(content=out)
+                    new = formats[h](bytes(c), change) if h in formats else c
+                out.append(new)
+            if out:
+                yield frame.loc[frame["place"] == 1, columns].assign(content=out)
 
-    other = rows.where(F.col("handler").isin(*formats, "ips"))
-    done = full.mapInPandas(run, full.schema).withColumn("content", rewrite.after_surfaces(F.col("content").cast("string"), options).cast("binary"))
-    return plain.unionByName(done).unionByName(other.mapInPandas(run, other.schema))
+    done = every.mapInPandas(run, rows.select(*columns).schema)
+    after = F.when(text, rewrite.after_surfaces(F.col("content").cast("string"), options).cast("binary")).otherwise(F.col("content"))
+    return done.withColumn("content", after).unionByName(rows.where(F.col("handler").isNull()))
 
 
 @dataclass
@@ -214,10 +245,8 @@ def anonymize_archives(archives: DataFrame, key: Key, options: Options | None =
     profile = effective(options)
     rows, _, found = _discover(archives, options)
     made = written(mapping.replacements(found, key, options, ("archive_id",)))
-    pairs = rewrite.surface_pairs(mapping.surfaces(made, ("archive_id",)), "archive_id")
-    hidden = made.groupBy("archive_id").agg(F.collect_set("canonical").alias("hidden"))
-    kept = rows.where("not drop").join(pairs, "archive_id", "left").join(hidden, "archive_id", "left").withColumn("gps_dropped", F.lit(profile.action("gps_coordinate") == "drop"))
-    new = written(rewrite_members(kept, options).drop("pairs", "hidden", "gps_dropped"))
+    hidden = made.select("archive_id", F.col("canonical").alias("surface")).where("surface != ''")
+    new = written(rewrite_members(rows.where("not drop"), mapping.surfaces(made, ("archive_id",)), options, profile.action("gps_coordinate") == "drop", hidden))
     spared = found.where("action = 'keep'")
     left = written(left_over(new, made, spared, options))
     state = residual.status(left, archives, profile.name == "research")
@@ -264,11 +293,11 @@ def restore_archives(archives: DataFrame, key: Key) -> DataFrame:
     bad = opened.where("value is null").limit(1).count()
     if bad:
         raise CryptoError("a sealed value does not open with this key")
-    pairs = opened.groupBy("archive_id").agg(rewrite.longest_first(F.collect_list(F.struct(F.col("token").alias("surface"), F.col("value").alias("replacement")))).alias("pairs"), F.sum("n").alias("n_opened"))
-    joined = rows.join(pairs, "archive_id", "left")
-    new = rewrite_members(joined.withColumn("gps_dropped", F.lit(False)).withColumn("hidden", F.array().cast("array<string>")).drop("n_opened"), Options(mode="encrypt"))
-    packed = containers.repack(new.select("archive_id", "kind", "member", "ordinal", "content"))
-    return packed.join(pairs.select("archive_id", "n_opened"), "archive_id", "left").withColumn("n_opened", F.coalesce("n_opened", F.lit(0)))
+    tokens = opened.select("archive_id", F.col("token").alias("surface"), F.col("value").alias("replacement"))
+    new = rewrite_members(rows, tokens, Options(mode="encrypt"))
+    packed = written(containers.repack(new.select("archive_id", "kind", "member", "ordinal", "content")))
+    counts = opened.groupBy("archive_id").agg(F.sum("n").alias("n_opened"))
+    return packed.join(counts, "archive_id", "left").withColumn("n_opened", F.coalesce("n_opened", F.lit(0)))
 
 
 def restore_column(text: Column, key: Key) -> Column:

@@ -44,7 +44,7 @@ def replacer(pairs: list[tuple[str, str]]) -> Callable[[str], str]:
     whole = dict(pairs)
     pairs = [(s, r) for s, r in pairs if s != r]
     if len(pairs) < MANY:
-        return lambda text: whole[text] if text in whole else _in_turn(text, pairs)
+        return lambda text: whole[text] if text in whole else in_turn(text, pairs)
     import ahocorasick
 
     machine = ahocorasick.Automaton()
@@ -77,12 +77,28 @@ def replacer(pairs: list[tuple[str, str]]) -> Callable[[str], str]:
     return change
 
 
-def _in_turn(text: str, pairs: list[tuple[str, str]]) -> str:
+def in_turn(text: str, pairs: list[tuple[str, str]]) -> str:
     for s, r in pairs:
         text = text.replace(s, r)
     return text
 
 
+_in_turn = in_turn  # its name in tests
+
+
+def finder(names: list[str]) -> Callable[[str], bool]:
+    """Whether a text holds one of the names."""
+    if len(names) < MANY:
+        return lambda text: any(n in text for n in names)
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for n in names:
+        machine.add_word(n, True)
+    machine.make_automaton()
+    return lambda text: next(machine.iter(text), None) is not None
+
+
 # The block of a location service's dump, and the note for a dropped line.
 LINE_NOTE = "<log line dropped>"
 GPS_BLOCK = r"\{([^,]+),\s*-?\d+\.\d+\s*,\s*-?\d+\.\d+(±[^,}]*)?"
