@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from veilmark import engine
+from veilmark import engine, queries
 from veilmark.functions import detect
 from veilmark.functions.keys import Key
 from veilmark.functions.text import let, running, spans
@@ -120,3 +120,9 @@ def test_formats_of_ones_own(spark):
         assert out["a.pairs"].startswith(b"ssid=SSID-") and out["a.pairs"].endswith(b";n=1")
     finally:
         del members.OWN["pairs"], leaves.VALUES["pairs"], leaves.REWRITES["pairs"]
+
+
+def test_reports_read_entities_that_were_written(spark, tmp_path):
+    spark.createDataFrame([(1, "Customer#1", 3, 0.0, "AUTO")], "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    told = queries.queries()["audit_json"](spark, str(tmp_path))
+    assert "regexp_extract_all" not in told._jdf.queryExecution().analyzed().toString() and [r["archive_id"] for r in told.collect()] == ["3"]
