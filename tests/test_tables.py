@@ -126,3 +126,12 @@ def test_reports_read_entities_that_were_written(spark, tmp_path):
     spark.createDataFrame([(1, "Customer#1", 3, 0.0, "AUTO")], "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     told = queries.queries()["audit_json"](spark, str(tmp_path))
     assert "regexp_extract_all" not in told._jdf.queryExecution().analyzed().toString() and [r["archive_id"] for r in told.collect()] == ["3"]
+
+
+def test_more_addresses_than_pseudonyms(spark):
+    """Of 700 documents with an address each, all get one of their own: 512 at most from the networks of documentation, the rest from a reserved range."""
+    rows = addresses(spark, 700).select(F.monotonically_increasing_id().alias("id"), F.concat(F.lit("at "), "canonical", F.lit(" then")).alias("text"))
+    out = engine.anonymize_table(rows, ["id"], ["text"], key=KEY, options=Options(profile="strict", on_collision="widen")).rewritten
+    made = [r["text"].split(" ")[1] for r in out.collect()]
+    near = [x for x in made if x.startswith(("198.51.100.", "203.0.113."))]
+    assert len(set(made)) == 700 and 400 < len(near) <= 512 and all(240 <= int(x.split(".")[0]) < 255 for x in made if x not in near)

@@ -159,6 +159,18 @@ def pseudonym(kind: Column, value: Column, tag: Column, kinds: tuple[str, ...] =
     return F.coalesce(by, value)
 
 
+def wider(kind: Column, value: Column, tag: Column) -> Column:
+    """As pseudonym, from larger ranges for kinds that have few: 240.0.0.0/4, which is reserved and not routed, longer names and numbers."""
+    octets = F.concat_ws(".", (F.pmod(_number(tag, 0, 2).cast("int"), _L(15)) + 240).cast("string"), *(_number(tag, i, i + 2) for i in (2, 4, 6)))
+    hint = F.coalesce(*(F.when(value.contains(p), _L(f" ({p})")) for p in PRODUCTS), _L(""))
+    code = F.when(value.startswith("+"), _L("+1")).otherwise(_L(""))
+    long = {"ipv4_public": octets, "ssid": F.concat(_L("SSID-"), _cut(tag, 0, 16)), "bluetooth_name": F.concat(_L("BT-Device-"), _cut(tag, 0, 16), hint), "phone_number": F.concat(code, _L("555"), _cut(decimals(tag), 0, 11))}
+    out = pseudonym(kind, value, tag, tuple(k for k in GENERATORS if k not in long))
+    for k, made in long.items():
+        out = F.when(kind == k, made).otherwise(out)
+    return out
+
+
 def is_pseudonym(kind: Column, value: Column) -> Column:
     """The value has the shape that the kind's generator makes."""
     shapes = {

@@ -43,16 +43,17 @@ def collisions(candidates: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return candidates.withColumn("collision", F.row_number().over(w) - 1)
 
 
-def _made(key: Key, attempt: Column | None = None) -> Column:
-    return pseudonym.pseudonym(F.col("kind"), F.col("canonical"), key.tag(F.col("kind"), F.col("canonical"), attempt))
+def _made(key: Key, attempt: Column | None = None, wide: bool = False) -> Column:
+    make = pseudonym.wider if wide else pseudonym.pseudonym
+    return make(F.col("kind"), F.col("canonical"), key.tag(F.col("kind"), F.col("canonical"), attempt))
 
 
-def extended(candidates: DataFrame, key: Key, keys: tuple[str, ...] = ()) -> DataFrame:
+def extended(candidates: DataFrame, key: Key, keys: tuple[str, ...] = (), widen: bool = False) -> DataFrame:
     """candidates(keys, kind, canonical, candidate) made unique within keys and kind.
 
     The first by canonical keeps a candidate. The others try the tags that follow, several at a time and more each
     round, and take the first that is free; one that two of them want goes to the first by canonical. An
-    error tells that a kind's pseudonyms are used up.
+    error tells that a kind's pseudonyms are used up; with widen those left after the first round get theirs from larger ranges.
     """
     by = [*keys, "kind"]
     ranked = written(collisions(candidates.select(*by, "canonical", "candidate"), keys))
@@ -62,7 +63,7 @@ def extended(candidates: DataFrame, key: Key, keys: tuple[str, ...] = ()) -> Dat
         if tries > MOST_TRIES:
             short = left.first()
             raise ValueError(f"no pseudonym of kind {short['kind']} is free for all its entities")
-        wanted = left.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1)))).withColumn("candidate", _made(key, F.col("attempt")))
+        wanted = left.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1)))).withColumn("candidate", _made(key, F.col("attempt"), widen and first > 1))
         free = wanted.join(done.select(*by, "candidate"), [*by, "candidate"], "left_anti")
         pick = free.groupBy(*by, "canonical").agg(F.min(F.struct("attempt", "candidate"))["candidate"].alias("candidate"))
         won = written(collisions(pick, keys).where("collision = 0").drop("collision"))
@@ -95,7 +96,7 @@ def replacements(resolved: DataFrame, key: Key, options: Options | None = None,
             raise ValueError(f"two entities of kind {clash['kind']} have one pseudonym")
         unique = F.col("candidate")
     else:
-        fixed = extended(rows.where(varies), key, keys).withColumnRenamed("candidate", "fixed")
+        fixed = extended(rows.where(varies), key, keys, options.on_collision == "widen").withColumnRenamed("candidate", "fixed")
         rows = rows.join(fixed, [*keys, "kind", "canonical"], "left")
         unique = F.coalesce("fixed", "candidate")
     if options.ordinal:

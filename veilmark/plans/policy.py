@@ -46,7 +46,7 @@ class Options:
     drop_carrier: bool = False
     pseudo_third_party_packages: bool = False
     drop_text_from_packages: tuple[str, ...] = ()
-    on_collision: str = "extend"  # or error
+    on_collision: str = "extend"  # or widen, with larger reserved ranges where a kind's are used up, or error
     residual_context: str = "none"  # or section
     unknown: str = "drop"  # or pass
     sqlite: str = "rewrite"  # or drop
@@ -55,7 +55,7 @@ class Options:
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        for name, allowed in (("mode", ("pseudonym", "encrypt")), ("logarchive", ("drop", "jsonl")), ("on_collision", ("extend", "error")), ("residual_context", ("none", "section")), ("unknown", ("drop", "pass")), ("sqlite", ("rewrite", "drop"))):
+        for name, allowed in (("mode", ("pseudonym", "encrypt")), ("logarchive", ("drop", "jsonl")), ("on_collision", ("extend", "widen", "error")), ("residual_context", ("none", "section")), ("unknown", ("drop", "pass")), ("sqlite", ("rewrite", "drop"))):
             if getattr(self, name) not in allowed:
                 raise PolicyError(f"{name} is one of {', '.join(allowed)}")
 
