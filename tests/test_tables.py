@@ -135,3 +135,13 @@ def test_more_addresses_than_pseudonyms(spark):
     made = [r["text"].split(" ")[1] for r in out.collect()]
     near = [x for x in made if x.startswith(("198.51.100.", "203.0.113."))]
     assert len(set(made)) == 700 and 400 < len(near) <= 512 and all(240 <= int(x.split(".")[0]) < 255 for x in made if x not in near)
+
+
+def customers(spark, path, keys):
+    """Of 16716 and 51003 the names' tags begin alike."""
+    spark.createDataFrame([(k, f"Customer#{k:09}", 3) for k in keys], "c_custkey bigint, c_name string, c_nationkey int").write.parquet(f"{path}/customer.parquet")
+
+
+def test_names_whose_tags_begin_alike_are_counted_apart(spark, tmp_path):
+    customers(spark, tmp_path, [16716, 51003, 51003])
+    assert [tuple(r) for r in queries.queries()["join_cardinality_preserved"](spark, str(tmp_path)).collect()] == [(3, 2)]
