@@ -145,3 +145,15 @@ def customers(spark, path, keys):
 def test_names_whose_tags_begin_alike_are_counted_apart(spark, tmp_path):
     customers(spark, tmp_path, [16716, 51003, 51003])
     assert [tuple(r) for r in queries.queries()["join_cardinality_preserved"](spark, str(tmp_path)).collect()] == [(3, 2)]
+
+
+def test_actions_of_names_whose_tags_begin_alike(spark, tmp_path):
+    customers(spark, tmp_path, [16716, 51003])
+    got = {r["id"]: r["replacement"] for r in queries.queries()["action_effects"](spark, str(tmp_path)).collect()}
+    assert len(got) == 6 and got[16716] == got[51003] == "User-0e537a08"
+
+
+def test_an_entity_in_several_rows_has_one_pseudonym(spark):
+    rows = addresses(spark, 3).unionByName(addresses(spark, 3))
+    made = [(r["canonical"], r["replacement"]) for r in mapping.replacements(rows, KEY).collect()]
+    assert len(made) == 6 and len(set(made)) == 3 and len(mapping.replacements(rows, KEY, Options(on_collision="error")).collect()) == 6

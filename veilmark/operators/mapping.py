@@ -56,7 +56,7 @@ def extended(candidates: DataFrame, key: Key, keys: tuple[str, ...] = (), widen:
     error tells that a kind's pseudonyms are used up; with widen those left after the first round get theirs from larger ranges.
     """
     by = [*keys, "kind"]
-    ranked = written(collisions(candidates.select(*by, "canonical", "candidate"), keys))
+    ranked = written(collisions(candidates.select(*by, "canonical", "candidate").distinct(), keys))  # an entity may come in several rows
     done, left = ranked.where("collision = 0").drop("collision"), ranked.where("collision > 0").select(*by, "canonical")
     first, tries = 1, FIRST_TRIES
     while left.limit(1).count():
@@ -91,7 +91,7 @@ def replacements(resolved: DataFrame, key: Key, options: Options | None = None,
     # constants are not compared: all their entities would meet in one task
     varies = (F.col("action") == "pseudo") & ~kind.isin(*CONSTANT)
     if options.on_collision == "error":
-        clash = written(collisions(rows.where(varies).select(*keys, "kind", "canonical", "candidate"), keys)).where("collision > 0").first()
+        clash = written(collisions(rows.where(varies).select(*keys, "kind", "canonical", "candidate").distinct(), keys)).where("collision > 0").first()
         if clash:
             raise ValueError(f"two entities of kind {clash['kind']} have one pseudonym")
         unique = F.col("candidate")
