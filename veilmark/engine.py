@@ -32,7 +32,7 @@ def pseudonymize_column(text: Column, key: Key, options: Options | None = None,
     profile = effective(options)
     actions = F.create_map(*(F.lit(x) for k in pseudonym.GENERATORS for x in (k, profile.action(k))))
     changed = tuple(k for k in pseudonym.GENERATORS if profile.action(k) not in ("keep", "shift", "drop"))
-    hits = F.filter(encodings.scan_views(text, section), lambda h: (h["confidence"] >= profile.least_confidence) & ~F.try_element_at(actions, h["kind"]).isin("keep", "shift"))
+    hits = F.filter(encodings.scan_views(text, section, views=options.views), lambda h: (h["confidence"] >= profile.least_confidence) & ~F.try_element_at(actions, h["kind"]).isin("keep", "shift"))
 
     def pair(h: Column) -> Column:
         tag = key.tag(h["kind"], h["canonical"])
@@ -40,7 +40,7 @@ def pseudonymize_column(text: Column, key: Key, options: Options | None = None,
             made = seal.seal(h["canonical"], key)
         else:
             made = F.when(F.try_element_at(actions, h["kind"]) == "drop", pseudonym.dropped(h["kind"], h["canonical"], tag)).otherwise(pseudonym.pseudonym(h["kind"], h["canonical"], tag, changed))
-        return F.struct(h["value"].alias("surface"), mapping.encoded_like(h["value"], h["canonical"], made).alias("replacement"))
+        return F.struct(h["value"].alias("surface"), (made if options.writing == "plain" else mapping.encoded_like(h["value"], h["canonical"], made)).alias("replacement"))
 
     pairs = F.filter(F.array_distinct(F.transform(hits, pair)), lambda p: p["replacement"].isNotNull())
     return rewrite.rewrite_text(text, rewrite.longest_first(pairs), options, profile.action("gps_coordinate") == "drop")
@@ -79,7 +79,7 @@ def anonymize_table(df: DataFrame, id_cols: list[str], text_cols: list[str], str
     options, key = options or Options(), key or Key.random()
     profile = effective(options)
     row, found_in = _fresh(df, "row"), _fresh(df, "hits")
-    fields = [*((c, _free_hits(c)) for c in text_cols), *((c, _keyed_hits(c)) for c in structural_cols)]
+    fields = [*((c, _free_hits(c, options.views)) for c in text_cols), *((c, _keyed_hits(c)) for c in structural_cols)]
     every = F.concat(*(F.transform(hits, lambda h, c=c: F.struct(F.lit(c).alias("field"), h.alias("h"))) for c, hits in fields))
     rows = written(df.withColumn(row, F.monotonically_increasing_id()).withColumn(found_in, every))
     has = F.coalesce(F.size(found_in) > 0, F.lit(False))
@@ -87,7 +87,8 @@ def anonymize_table(df: DataFrame, id_cols: list[str], text_cols: list[str], str
     found = written(entities.resolve(entities.roll_up(hits, order=(*(f"id {i}" for i in range(len(id_cols))), "field", "start")), profile, options))
     made = written(mapping.replacements(found, key, options))
     own = hits.select(F.col(row).alias("of"), "kind", "canonical", "value").distinct().join(made.select("kind", "canonical", "replacement").where("replacement is not null"), ["kind", "canonical"])
-    own = own.select("of", F.col("value").alias("surface"), mapping.encoded_like(F.col("value"), F.col("canonical"), F.col("replacement")).alias("replacement"))
+    like = F.col("replacement") if options.writing == "plain" else mapping.encoded_like(F.col("value"), F.col("canonical"), F.col("replacement"))
+    own = own.select("of", F.col("value").alias("surface"), like.alias("replacement"))
     pairs = rewrite.surface_pairs(own.groupBy("of", "surface").agg(F.min("replacement").alias("replacement")), "of").withColumnRenamed("pairs", "own pairs")
     joined = rows.where(has).join(pairs, F.col(row) == F.col("of"), "left").unionByName(rows.where(~has), allowMissingColumns=True)
     gps = profile.action("gps_coordinate") == "drop"
@@ -101,8 +102,8 @@ def anonymize_table(df: DataFrame, id_cols: list[str], text_cols: list[str], str
     return TableRun(out.drop(found_in), found, made, left)
 
 
-def _free_hits(c: str) -> Column:
-    return encodings.scan_views(F.col(f"`{c}`"))
+def _free_hits(c: str, views: str = "all") -> Column:
+    return encodings.scan_views(F.col(f"`{c}`"), views=views)
 
 
 def _keyed_hits(c: str) -> Column:
@@ -145,9 +146,9 @@ def chunks(rows: DataFrame, options: Options) -> DataFrame:
     return plain.unionByName(ips).withColumn("key_path", F.lit(None).cast("string")).unionByName(inner)
 
 
-def archive_hits(parts: DataFrame) -> DataFrame:
+def archive_hits(parts: DataFrame, views: str = "all") -> DataFrame:
     keys = ("archive_id", "member", "ordinal", "handler", "section", "start_line", "key_path", "chunk_no")
-    free = parts.where("key_path is null").select(*keys, F.explode(encodings.scan_views(F.col("text"), F.col("section"), dense=True)).alias("h"))
+    free = parts.where("key_path is null").select(*keys, F.explode(encodings.scan_views(F.col("text"), F.col("section"), dense=True, views=views)).alias("h"))
     keyed = F.transform(structural.value_hits(F.col("text"), F.col("key_path")), lambda h: F.struct(F.lit("structural").alias("view"), *(h[k].alias(k) for k in ("kind", "value", "canonical", "confidence", "start", "end"))))
     tied = parts.where("key_path is not null").select(*keys, F.explode(keyed).alias("h"))
     out = free.unionByName(tied).select(*keys, "h.*")
@@ -231,7 +232,7 @@ def _discover(archives: DataFrame, options: Options, keep_all: bool = False) ->
     if options.logarchive == "jsonl":
         inside = logarchive.with_lines(inside)
     rows = written(members.classify(inside, profile, options, keep_all))
-    hits = written(archive_hits(chunks(rows.where("not drop"), options)))
+    hits = written(archive_hits(chunks(rows.where("not drop"), options), options.views))
     found = entities.roll_up(hits, ("archive_id",), ("ordinal", "member", "chunk_no", "start", "section", "start_line", "key_path"))
     return rows, hits, written(entities.resolve(found, profile, options))
 
@@ -246,7 +247,7 @@ def anonymize_archives(archives: DataFrame, key: Key, options: Options | None =
     rows, _, found = _discover(archives, options)
     made = written(mapping.replacements(found, key, options, ("archive_id",)))
     hidden = made.select("archive_id", F.col("canonical").alias("surface")).where("surface != ''")
-    new = written(rewrite_members(rows.where("not drop"), mapping.surfaces(made, ("archive_id",)), options, profile.action("gps_coordinate") == "drop", hidden))
+    new = written(rewrite_members(rows.where("not drop"), mapping.surfaces(made, ("archive_id",), options.writing), options, profile.action("gps_coordinate") == "drop", hidden))
     spared = found.where("action = 'keep'")
     left = written(left_over(new, made, spared, options))
     state = residual.status(left, archives, profile.name == "research")

@@ -18,7 +18,9 @@ from .text import FLAGS, ascii_lower, let, spans
 HIT = "struct<kind:string,value:string,canonical:string,confidence:int,start:int,end:int>"
 HITS = f"array<{HIT}>"
 # The patterns and ranges that results depend on.
-EMAIL = r"(?i)\b[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}\b"
+# As in RE2: words are of ASCII, so letters of other scripts end an address; K and s have a form outside it. (\b differs between Java's versions.)
+_EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+EMAIL = rf"(?-Uu)(?i){_EDGE}[a-z\u212a\u017f0-9._%+\-]+@[a-z\u212a\u017f0-9.\-]+\.[a-z\u212a\u017f]{{2,}}{_EDGE}"
 IMEI = r"\b\d{15}\b"
 MAC = r"(?i)\b(?:[0-9a-f]{2}:){5}[0-9a-f]{2}\b"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
@@ -62,7 +64,7 @@ def _all(c: Context, guard: Column, pattern: str, keep: Callable[[Column], Colum
 
 
 def email(c: Context) -> Column:
-    low = lambda x: ascii_lower(x["m"])
+    low = lambda x: F.lower(x["m"])
     return _all(c, c.text.contains("@"), EMAIL, lambda x: ~low(x).contains("@2x") & ~low(x).endswith(".invalid"), lambda x: _hit("email", x["m"], low(x), c.confidence(LOW), x["start"]))
 
 

@@ -54,8 +54,10 @@ def base64_hits(text: Column, section: Column | None = None, key_path: Column |
     return F.when(text.rlike("[A-Za-z0-9+/]{16}"), F.flatten(F.transform(runs, inside))).otherwise(F.array().cast(detect.HITS))
 
 
-def scan_views(text: Column, section: Column | None = None, key_path: Column | None = None, dense: bool = False) -> Column:
-    """Hits of the literal, percent-decoded and base64 views, each with its view."""
+def scan_views(text: Column, section: Column | None = None, key_path: Column | None = None, dense: bool = False, views: str = "all") -> Column:
+    """Hits of the literal, percent-decoded and base64 views (or of the literal one), each with its view."""
     named = lambda hits, view: F.transform(hits, lambda h: F.struct(F.lit(view).alias("view"), *(h[k].alias(k) for k in ("kind", "value", "canonical", "confidence", "start", "end"))))
     literal = detect.scan(detect.Context(text, section, key_path, dense))
+    if views == "literal":
+        return named(literal, "literal")
     return F.concat(named(literal, "literal"), named(url_hits(text, section, key_path), "url"), named(base64_hits(text, section, key_path), "base64"))

@@ -114,12 +114,12 @@ def encoded_like(surface: Column, canonical: Column, replacement: Column) -> Col
     """The replacement in the writing of the surface: percent-encoded, upper or lower case."""
     varies = ascii_lower(surface) == ascii_lower(canonical)
     cased = F.when(surface == ascii_upper(surface), ascii_upper(replacement)).otherwise(ascii_lower(replacement))
-    return F.when(surface == canonical, replacement).when(surface.contains("%"), url_encoded(replacement)).when(varies, cased).otherwise(replacement)
+    return F.when(surface == canonical, replacement).when(varies, cased).when(surface.contains("%"), url_encoded(replacement)).otherwise(replacement)
 
 
-def surfaces(mapping: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def surfaces(mapping: DataFrame, keys: tuple[str, ...] = (), writing: str = "surface") -> DataFrame:
     """surfaces(keys, kind, surface, replacement, surface_octets), one for each surface."""
     rows = mapping.where("replacement is not null").select(*keys, "kind", "canonical", "replacement", F.explode("surface_forms").alias("surface")).where("surface != ''")
-    made = rows.withColumn("replacement", encoded_like(F.col("surface"), F.col("canonical"), F.col("replacement")))
+    made = rows if writing == "plain" else rows.withColumn("replacement", encoded_like(F.col("surface"), F.col("canonical"), F.col("replacement")))
     first = F.min(F.struct(kind_order(F.col("kind")).alias("o"), "canonical", "replacement", "kind"))
     return made.groupBy(*keys, "surface").agg(first.alias("f")).select(*keys, F.col("f.kind").alias("kind"), "surface", F.col("f.replacement").alias("replacement"), F.octet_length("surface").alias("surface_octets"))

@@ -48,6 +48,8 @@ class Options:
     drop_text_from_packages: tuple[str, ...] = ()
     on_collision: str = "extend"  # or widen, with larger reserved ranges where a kind's are used up, or error
     residual_context: str = "none"  # or section
+    views: str = "all"  # or literal: percent-decoded and base64 texts are left alone
+    writing: str = "surface"  # in the writing of the surface, or plain
     unknown: str = "drop"  # or pass
     sqlite: str = "rewrite"  # or drop
     split_domain_tag: bool = False
@@ -55,7 +57,7 @@ class Options:
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        for name, allowed in (("mode", ("pseudonym", "encrypt")), ("logarchive", ("drop", "jsonl")), ("on_collision", ("extend", "widen", "error")), ("residual_context", ("none", "section")), ("unknown", ("drop", "pass")), ("sqlite", ("rewrite", "drop"))):
+        for name, allowed in (("mode", ("pseudonym", "encrypt")), ("logarchive", ("drop", "jsonl")), ("on_collision", ("extend", "widen", "error")), ("residual_context", ("none", "section")), ("views", ("all", "literal")), ("writing", ("surface", "plain")), ("unknown", ("drop", "pass")), ("sqlite", ("rewrite", "drop"))):
             if getattr(self, name) not in allowed:
                 raise PolicyError(f"{name} is one of {', '.join(allowed)}")
 
