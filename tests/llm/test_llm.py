@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veilmark.llm import op1_pii, op2_language, op3_decontamination, op4_jaccard, op5_toxicity, op6_secrets, op7_quality, op8_substrings, op9_resampling, op10_bpe
+from veilmark.llm import common, op1_pii, op2_language, op3_decontamination, op4_jaccard, op5_toxicity, op6_secrets, op7_quality, op8_substrings, op9_resampling, op10_bpe
 from veilmark.llm.graph import components
 
 RNG = random.Random(5)
@@ -389,6 +389,32 @@ def test_components(spark):
     assert got == {x: c for x, c in parent.items() if any(a != b and x in (a, b) for a, b in edges)}
 
 
+def test_intermediate_files(spark, docs, tmp_path, monkeypatch):
+    made = []
+
+    def folder(session):
+        made.append(tmp_path / str(len(made)))
+        return f"file://{made[-1]}"
+
+    monkeypatch.setattr(common, "shared_dir", folder)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, ("30", "false"), strict=True):
+            spark.conf.set(k, v)
+        got = components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a bigint, b bigint"), 200).collect()
+        assert {(r["node"], r["component"]) for r in got} == {(i, 0) for i in range(201)}
+        assert len(made) > 3 and all(len(list(d.glob("part-*"))) == 1 for d in made)  # a file a round, not one a partition
+        rounds = len(made)
+        assert Counter(tuple(r) for r in op4_jaccard.jaccard_join(spark.createDataFrame(near_copies(), SCHEMA)).collect()) == plain_components(near_copies())
+        assert not any(p.name.startswith((".", "_")) for d in made[rounds:] for p in d.iterdir())  # no checksum files, no marks of success
+        monkeypatch.setattr(common, "FILE_ROWS", 50)
+        rows = common.written(spark.range(0, 200, 1, 30), most=200)
+        assert len(list(made[-1].glob("part-*"))) == 4 and sorted(r["id"] for r in rows.collect()) == list(range(200))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 # ---- op5
 
 

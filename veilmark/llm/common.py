@@ -36,14 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 ROW_GROUP = 8 << 20  # bytes that a task holds of what it writes
+FILE_ROWS = 100_000  # of a few bytes each, in a file
+#: Without its native library Hadoop starts a program (chmod) for each file's permissions, its folder's and its checksum file's, and
+#: while one starts it counts with all memory of the executor. The plain local file system has no checksum files; other stores are as they were.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 
 
-def written(df: DataFrame, narrow: bool = False) -> DataFrame:
+def written(df: DataFrame, narrow: bool = False, most: int | None = None) -> DataFrame:
     """Cuts the lineage: written to the shared folder and read again. narrow: rows are few bytes for each of the input, so
-    files are made of many tasks' rows instead of one each."""
+    files are made of many tasks' rows instead of one each. most: bound of the number of rows, which are few bytes each;
+    they go to a file for each FILE_ROWS, however many partitions there are."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    (df.hint("rebalance") if narrow else df).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    out = df.hint("rebalance") if narrow else df
+    out = out if most is None else out.coalesce(max(1, -(-most // FILE_ROWS)))
+    out.write.options(**_PLAIN).option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -306,8 +306,8 @@ def _across(a: int, b: np.ndarray) -> np.ndarray:
     return (a + b == 3) | ((a == 0) & (b == 0))
 
 
-def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
-    """Those pairs (a, b) that link."""
+def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame, seed: int, most: int | None = None) -> DataFrame:
+    """Those pairs (a, b) that link. most: bound of their number, if known."""
     maps = described.where("bitmap is not null").groupBy("sig").agg(F.first("bitmap").alias("bitmap"), F.first("n").alias("n"))
     a, b = (maps.select(F.col("sig").alias(s), F.col("bitmap").alias(f"m{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
 
@@ -316,7 +316,7 @@ def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame, seed: int
             x = [batch.column(c).to_pylist() for c in ("ma", "na", "mb", "nb")]
             yield batch.select(["a", "b"]).filter(pa.array([links(na, nb, min(na, nb, most_common(ma, na, mb, nb))) for ma, na, mb, nb in zip(*x, strict=True)], pa.bool_()))
 
-    possible = written(pairs.join(b, "b").join(a, "a").where("5 * least(na, nb) >= 4 * greatest(na, nb)").mapInArrow(bound, "a bigint, b bigint"))
+    possible = written(pairs.join(b, "b").join(a, "a").where("5 * least(na, nb) >= 4 * greatest(na, nb)").mapInArrow(bound, "a bigint, b bigint"), most is not None, most)
     sigs = possible.select(F.col("a").alias("sig")).unionByName(possible.select(F.col("b").alias("sig"))).distinct()
     wanted = _wanted_arrays(docs, sigs, seed)
     a, b = (wanted.select(F.col("sig").alias(s), F.col("shingles").alias(f"s{s}")) for s in "ab")
@@ -331,7 +331,7 @@ def _verified(docs: DataFrame, described: DataFrame, pairs: DataFrame, seed: int
                 keep.append(links(len(s), len(t), int(np.count_nonzero(both[1:] == both[:-1]))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(possible.join(b, "b").join(a, "a").mapInArrow(exact, "a bigint, b bigint"))
+    return written(possible.join(b, "b").join(a, "a").mapInArrow(exact, "a bigint, b bigint"), True, possible.count())
 
 
 def _wanted_arrays(docs: DataFrame, sigs: DataFrame, seed: int) -> DataFrame:
@@ -370,44 +370,47 @@ def slots(sig: int, size: int) -> list[int]:
     return [int(x[0]) & size - 1, int(x[0]) >> 32 & size - 1]
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Described documents, the classes (sig, none, least) with their least doc_id, and the seed whose signatures hold."""
-    seed = 0
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """Described documents, the classes (sig, none, least) with their least doc_id, the seed whose signatures hold, and the number of documents with words."""
+    seed, rows = 0, docs.count()
     while True:
-        described = written(_describe(docs, seed), narrow=True)
-        classes = described.where("n > 0 and sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), (F.min("proof") != F.max("proof")).alias("clash"))
-        classes = written(classes)
+        described = written(_describe(docs, seed), narrow=True, most=4 * rows)  # a row with its bitmap counts as four
+        worded = described.where("n > 0 and sig is not null")
+        count = worded.count()
+        classes = worded.groupBy("sig").agg(F.min("doc_id").alias("least"), (F.min("proof") != F.max("proof")).alias("clash"))
+        classes = written(classes, most=count)
         if not classes.where("clash").limit(1).count():
-            return described, classes.select("sig", F.col("least").isNull().alias("none"), "least"), seed
+            return described, classes.select("sig", F.col("least").isNull().alias("none"), "least"), seed, count
         seed += 1
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, n, sig, component, component_id) of each document; the last two are null without shingles."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, row, n, sig, component, component_id) of each document; the last two are null without shingles. And the number of documents with words."""
     docs = only(docs, "doc_id", "text")
-    described, classes, seed = _classes(docs)
+    described, classes, seed, worded = _classes(docs)
     rows = described.where("sig is not null").select("doc_id", "row", "n", "sig")
     tiles = written(_tiles(_prefix_blocks(docs, _frequent(described), partitions(docs.sparkSession), seed)))
-    first = _verified(docs, described, tiles.where("n is null").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), seed)
-    comps = written(_components(first, classes))
+    pairs = tiles.where("n is null").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    first = _verified(docs, described, pairs.distinct(), seed, pairs.count())
+    comps = written(_components(first, classes), most=2 * first.count())
     second = _verified(docs, described, _cross(tiles.where("n is not null"), comps.select("node", "component")), seed)
     comps = _components(first.unionByName(second), classes)
     of = classes.join(comps, classes["sig"] == comps["node"], "left").select(F.col("sig").alias("s"), F.coalesce("component", "sig").alias("component"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     linked = rows.where("n > 0").join(of, F.col("sig") == F.col("s"), "left").drop("s")
-    return linked.unionByName(rows.where("n = 0"), allowMissingColumns=True)
+    return linked.unionByName(rows.where("n = 0"), allowMissingColumns=True), worded
 
 
 def _components(links: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component, component_id) of linked classes; the component is the class with the least doc_id (null last, then by signature)."""
     named = lambda k: classes.select(F.col("sig").alias(k), F.struct("none", "least", "sig").alias(f"{k} node"))
     edges = links.join(named("a"), "a").join(named("b"), "b").select(F.col("a node").alias("a"), F.col("b node").alias("b"))
-    return components(edges).select("node.sig", "component").select(F.col("sig").alias("node"), F.col("component.sig").alias("component"), F.col("component.least").alias("component_id"))
+    return components(edges, links.count()).select("node.sig", "component").select(F.col("sig").alias("node"), F.col("component.sig").alias("component"), F.col("component.least").alias("component_id"))
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id)."""
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return _grouped(docs).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
+    return _grouped(docs)[0].select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -415,7 +418,8 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Rows without words stay as they are, repeated ones too; of a repeated representative one row stays.
     """
-    rows = written(_grouped(docs).where("n > 0"), narrow=True)
+    grouped, worded = _grouped(docs)
+    rows = written(grouped.where("n > 0"), narrow=True, most=worded)
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b")).select("b.doc_id", "b.row").distinct()
     plain, at = numbered(docs)
     doc_id, text = (F.col(at["doc_id"]) if "doc_id" in at else F.lit(None)).cast("bigint"), F.col(at["text"]).cast("string")

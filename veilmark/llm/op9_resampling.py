@@ -152,7 +152,7 @@ def _fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, DataFrame, int
             g, key = _key(w, batch.column("noise").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w / UNIT), pa.array(g / UNIT), pa.array(key)], names=["doc_id", "log_weight", "perturbed", "key"])
 
-    scored = written(docs.select("doc_id", "text", _noise(F.col("doc_id"), F.col("text")).alias("noise")).mapInArrow(run, "doc_id bigint, log_weight double, perturbed double, key bigint"), narrow=True)
+    scored = written(docs.select("doc_id", "text", _noise(F.col("doc_id"), F.col("text")).alias("noise")).mapInArrow(run, "doc_id bigint, log_weight double, perturbed double, key bigint"), narrow=True, most=docs.count())
     sample = scored.join(ids, "doc_id").select("quality", "log_weight").toPandas()
     good, bad = (sample.loc[(sample["quality"] > 0) == v, "log_weight"].to_numpy() for v in (True, False))
     if not len(good) or not len(bad):
