@@ -1,5 +1,6 @@
 """Tables, collisions, many surfaces and long texts."""
 
+import json
 import random
 import sqlite3
 import time
@@ -128,6 +129,17 @@ def test_reports_read_entities_that_were_written(spark, tmp_path):
     assert "regexp_extract_all" not in told._jdf.queryExecution().analyzed().toString() and [r["archive_id"] for r in told.collect()] == ["3"]
 
 
+def test_reports_come_from_texts_that_no_join_broadcasts(spark, tmp_path, monkeypatch):
+    """Two customers of one key count once each, in their own nations; the only join is that with the table of actions."""
+    rows = [(1, "Customer#1", 3, 0.0, "AUTO"), (1, "Customer#1", 4, 0.0, "AUTO"), (2, "Customer#2", 4, 0.0, "AUTO")]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    plans, written = [], queries.written
+    monkeypatch.setattr(queries, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df))
+    told = queries.queries()["audit_json"](spark, str(tmp_path)).collect()
+    counts = {r["archive_id"]: {e["kind"]: e["count"] for e in json.loads(r["report_json"])["entities"]} for r in told}
+    assert plans[0].count("Join ") == 1 and {a: (n["email"], n["ssid"], n["imei"]) for a, n in counts.items()} == {"3": (1, 1, 1), "4": (2, 2, 2)}
+
+
 def test_more_addresses_than_pseudonyms(spark):
     """Of 700 documents with an address each, all get one of their own: 512 at most from the networks of documentation, the rest from a reserved range."""
     rows = addresses(spark, 700).select(F.monotonically_increasing_id().alias("id"), F.concat(F.lit("at "), "canonical", F.lit(" then")).alias("text"))
